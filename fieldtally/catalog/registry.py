@@ -17,9 +17,12 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._seen: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._seen:
+            self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._seen[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from .numbers import clip, to_number, total
 
 def expected_doses(age: Column, schedule=CORE_SCHEDULE_MONTHS) -> Column:
     """Doses due by this age; 0 for an unknown age."""
-    return total(F.coalesce((age >= low).cast("int"), F.lit(0)) for _, low in schedule)
+    per_age = Counter(low for _, low in schedule)
+    reached = total((age >= low).cast("int") * n for low, n in sorted(per_age.items()))
+    return F.coalesce(reached, F.lit(0))
 
 
 def expected_doses_with_region(age: Column, endemic: Column) -> Column:
@@ -24,9 +28,14 @@ def flag_or_zero(c: Column) -> Column:
     return F.coalesce(to_number(c), F.lit(0.0))
 
 
+def clean_doses(df: DataFrame, names) -> DataFrame:
+    """The dose flags the table has as 0.0/1.0, null as not received."""
+    return df.withColumns({n: flag_or_zero(F.col(n)) for n in names if n in df.columns})
+
+
 def received_doses(df: DataFrame, names) -> Column:
-    """Sum of the dose flags the table has; null counts as not received."""
-    present = [flag_or_zero(F.col(n)) for n in names if n in df.columns]
+    """Sum of the cleaned dose flags the table has."""
+    present = [F.col(n) for n in names if n in df.columns]
     return total(present) if present else F.lit(0.0)
 
 
@@ -45,13 +54,13 @@ def vitamin_a_completeness(df: DataFrame, age: Column) -> Column:
 
 
 def series_complete(df: DataFrame, names) -> Column:
-    """1.0 when the present flags of the series add up to their number."""
+    """1.0 when the present cleaned flags of the series add up to their number."""
     present = [n for n in names if n in df.columns]
     return (received_doses(df, present) == float(len(present))).cast("double")
 
 
 def booster_gap(first: Column, second: Column, age: Column, min_age: int = 20) -> Column:
-    test = (flag_or_zero(first) == 1) & (flag_or_zero(second) == 0) & (age >= min_age)
+    test = (first == 1) & (second == 0) & (age >= min_age)
     return F.coalesce(test, F.lit(False)).cast("double")
 
 

@@ -35,8 +35,7 @@ def add_dose_scores(df: DataFrame, as_of: Column) -> DataFrame:
     age = F.col("patient_age_in_months")
     endemic = F.coalesce(F.col("is_in_malaria_endemic_region") == "yes", F.lit(False)) \
         if "is_in_malaria_endemic_region" in df.columns else F.lit(False)
-    doses = {c: S.flag_or_zero(F.col(c)) for c in CORE_DOSES + MALARIA_DOSES if c in df.columns}
-    df = df.withColumns(doses | {
+    df = S.clean_doses(df, CORE_DOSES + MALARIA_DOSES).withColumns({
         "age_expected_vaccine_count": S.expected_doses(age),
         "age_expected_vaccine_count_endemic": S.expected_doses_with_region(age, endemic)})
     core, every = S.received_doses(df, CORE_DOSES), S.received_doses(df, CORE_DOSES + MALARIA_DOSES)
