@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import DAY_DOSES
+from ..functions.numbers import missing_share
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators.latest import latest_rows
 from ..plans import cleaners as C
 from ..plans import person_months as M
 from ..plans.person_table import (
     add_target, household_planning, join_audit_label, join_maternal, join_registry, latest_visit_per_month,
 )
+from ..session import fresh_path
+from ..sources.tables import layer
 from .registry import query
-from .scans import TIEBREAKS, person_tables
-from .shape import as_of_events, rounded, ts_text
+from .scans import person_tables
+from .shape import as_of_events, rounded
 
 REG_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 REG_LATEST = """reg AS (SELECT chw_area_uuid, community_unit, county_name, sub_county_name FROM registry
@@ -110,16 +113,9 @@ def _(t):
     return J.left_join(visits(t), planning(t), "contact_parent_id").select("visit_no", "household_on_fp")
 
 
-def silver(t):
-    """Silver visits in the narrow shape the layers above need."""
-    s = M.silver_visits(t.iz)
-    return s.withColumn("chw_key", F.col("contact_parent_id")).withColumn(
-        "row_missingness_pct", F.col("row_missingness_pct"))
-
-
 def narrow_silver(t):
+    """Silver visits without the doses the month labels do not use."""
     s = M.silver_visits(t.iz.drop(*[c for c in t.iz.columns if c.startswith(("has_malaria", "has_vitamin"))]))
-    from ..functions.numbers import missing_share
     return s.withColumn("row_missingness_pct", missing_share(F.col("month"), F.col("county_raw"), F.col("patient_sex")))
 
 
@@ -168,7 +164,6 @@ def _(t):
 @query("c11_population_registry", uses="population registry_latest", sql="""
   SELECT p.c_custkey, r.county_clean, r.sub_county_clean FROM population p LEFT JOIN registry_latest r ON p.chw_uuid = r.chw_key""")
 def _(t):
-    from ..operators.latest import latest_rows
     newest = latest_rows(registry_silver(t), ["chw_key"], "registry_snapshot_datetime", REG_KEYS).select("chw_key", "county_clean", "sub_county_clean")
     return J.left_join(M.silver_population(t.population), newest, "chw_key").select("c_custkey", "county_clean", "sub_county_clean")
 
@@ -176,7 +171,6 @@ def _(t):
 def labelled(t):
     """Child-month labels with the worker key of the month's newest visit."""
     s = narrow_silver(t)
-    from ..operators.latest import latest_rows
     keys = latest_rows(s.select("child_key", "year_month", "event_datetime", "visit_no", "contact_parent_id"),
                        ["child_key", "year_month"], "event_datetime", ["visit_no"])
     lab = M.month_labels(cohort(t), s, ["visit_no"])
@@ -207,7 +201,6 @@ def _(t):
   SELECT r.chw_key, r.county_clean, r.sub_county_clean, a.u2 AS u2_population_context, a.u5 AS u5_population_context
   FROM registry_latest r LEFT JOIN areas a ON r.county_clean = a.county_clean AND r.sub_county_clean = a.sub_county_clean""")
 def _(t):
-    from ..operators.latest import latest_rows
     reg = registry_silver(t)
     areas = M.area_context(M.silver_population(t.population), reg, REG_KEYS)
     base = latest_rows(reg, ["chw_key"], "registry_snapshot_datetime", REG_KEYS).select("chw_key", "county_clean", "sub_county_clean")
@@ -221,9 +214,10 @@ def _(t):
   LEFT JOIN registry_latest r ON lab.chw_key = r.chw_key AND h.chw_key IS NOT NULL
   LEFT JOIN areas a ON lab.county_clean = a.county_clean AND r.sub_county_clean = a.sub_county_clean""")
 def _(t):
-    """The whole person-month feature table."""
+    """The whole person-month feature table; the label layer is written first, as later steps read it more than once."""
     areas = M.area_context(M.silver_population(t.population), registry_silver(t), REG_KEYS)
-    ft = M.feature_table(labelled(t), worker_context(t), areas, ["index_month"])
+    labels = layer(labelled(t), fresh_path(t.spark, "labels") + ".parquet")
+    ft = M.feature_table(labels, worker_context(t), areas, ["index_month"])
     return ft.select("child_key", "index_month", "chw_key", "index_month_num", "homevisit_count_30d", "sub_county_clean", "u2_population_context", "county_clean")
 
 

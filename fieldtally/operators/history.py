@@ -6,27 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .prefix import running_totals
-
 
 def prior_events(df: DataFrame, key: str, ts: str, tiebreak, follow_up: str, default: str) -> DataFrame:
     """Earlier follow-ups, earlier defaults and days since the previous event.
 
-    Counts are running totals over (key, month) pieces. The previous event of a
-    piece's first row is the newest time of the key's earlier pieces.
+    A person's history is cut by month. Inside a piece a window counts what came
+    before; the pieces' totals and newest times, one row per month, are added on top.
     """
-    order = [F.col(ts).asc_nulls_last(), *[F.col(t).asc() for t in tiebreak]]
-    base = df.withColumn("_cell", F.trunc(ts, "month")).withColumn(
-        "_f", F.coalesce(F.col(follow_up), F.lit(0)).cast("bigint")).withColumn(
-        "_d", F.coalesce(F.col(default), F.lit(0)).cast("bigint"))
-    piece = W.partitionBy(key, "_cell").orderBy(*order)
-    base = base.withColumn("_prev", F.lag(ts).over(piece))
-    counted = running_totals(base, ["_f", "_d"], order, groups=[key])
-    earlier = W.partitionBy(key).orderBy(F.col("_c").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    ends = df.groupBy(F.col(key).alias("_k"), F.trunc(ts, "month").alias("_c")).agg(F.max(ts).alias("_end"))
-    ends = ends.select("_k", "_c", F.max("_end").over(earlier).alias("_before"))
-    joined = counted.join(ends, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cell").eqNullSafe(F.col("_c")))
-    gap = F.floor((F.unix_micros(ts) - F.unix_micros(F.coalesce("_prev", "_before"))) / F.lit(86_400_000_000))
+    flags = {"_f": F.coalesce(F.col(follow_up), F.lit(0)).cast("bigint"), "_d": F.coalesce(F.col(default), F.lit(0)).cast("bigint")}
+    base = df.withColumns({"_cell": F.trunc(ts, "month"), **flags})
+    piece = W.partitionBy(key, "_cell").orderBy(F.col(ts).asc_nulls_last(), *[F.col(t).asc() for t in tiebreak])
+    before_row = piece.rowsBetween(W.unboundedPreceding, -1)
+    local = base.select("*", F.lag(ts).over(piece).alias("_prev"),
+                        *[F.coalesce(F.sum(c).over(before_row), F.lit(0)).alias(f"_in{c}") for c in flags])
+    earlier = W.partitionBy("_k").orderBy(F.col("_c").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    pieces = base.groupBy(F.col(key).alias("_k"), F.col("_cell").alias("_c")).agg(
+        F.max(ts).alias("_end"), *[F.sum(c).alias(f"_t{c}") for c in flags])
+    pieces = pieces.select("_k", "_c", F.max("_end").over(earlier).alias("_last"),
+                           *[F.coalesce(F.sum(f"_t{c}").over(earlier), F.lit(0)).alias(f"_up{c}") for c in flags])
+    joined = local.join(pieces, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cell").eqNullSafe(F.col("_c")))
+    gap = F.floor((F.unix_micros(ts) - F.unix_micros(F.coalesce("_prev", "_last"))) / F.lit(86_400_000_000))
     return joined.select(
-        *df.columns, (F.col("cum__f") - F.col("_f")).alias("prior_follow_up_flag_count"),
-        (F.col("cum__d") - F.col("_d")).alias("prior_default_flag_count"), gap.alias("days_since_last_iz_event"))
+        *df.columns, (F.col("_in_f") + F.col("_up_f")).alias("prior_follow_up_flag_count"),
+        (F.col("_in_d") + F.col("_up_d")).alias("prior_default_flag_count"), gap.alias("days_since_last_iz_event"))

@@ -109,3 +109,9 @@ def export_csv(df: DataFrame, path: str) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """Metrics or explanations as JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def layer(df: DataFrame, path: str) -> DataFrame:
+    """Write a layer and go on from the written table: later plans read it instead of redoing it."""
+    write_table(df, path)
+    return read_table(df.sparkSession, path)
