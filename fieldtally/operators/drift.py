@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PSI_AMBER_BELOW, PSI_GREEN_BELOW
-from .prefix import exact_quantiles, value_counts
+from .prefix import quantiles_from_counts, value_counts
+from .profiles import unfold
 
 FLOOR = 1e-6
 
@@ -18,60 +19,70 @@ def long_form(df: DataFrame, features) -> DataFrame:
 
 
 def _place(value, edges):
-    """Bin number from 1; 0 below the first edge, null above the last; the last edge closes the last bin."""
+    """Bin number from 1, the last edge closing the last bin; 0 outside the reference range."""
     reached = F.size(F.filter(edges, lambda e: e <= value))
-    return F.when(value == F.element_at(edges, -1), F.size(edges) - 1).when(value < F.element_at(edges, -1), reached)
+    last = F.element_at(edges, -1)
+    return F.when(value < last, reached).when(value == last, F.size(edges) - 1).otherwise(0)
 
 
-def _bin_counts(long: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows per (feature, bin). ``edges`` has one short row per feature, bounded by the table's width."""
+def _bin_counts(long: DataFrame, edges: DataFrame, rows) -> DataFrame:
+    """Rows and value total per (feature, bin). ``edges`` has one short row per feature: its size is the table's width."""
     e = edges.select(F.col("feature").alias("_f"), "bins")
     return long.join(F.broadcast(e), F.col("feature") == F.col("_f")).groupBy(
-        "feature", _place(F.col("value"), F.col("bins")).alias("bin")).agg(F.count("*").alias("n")).filter("bin >= 1")
+        "feature", _place(F.col("value"), F.col("bins")).alias("bin")).agg(
+        F.sum(rows).alias("n"), F.sum(F.col("value") * rows).alias("v"))
+
+
+def _per_feature(counts: DataFrame) -> DataFrame:
+    """One row per feature: counts by bin as a map (at most bins + 1 entries), rows and mean."""
+    return counts.groupBy("feature").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_c"),
+        F.sum("n").alias("_rows"), (F.sum("v") / F.sum("n")).alias("_mean"))
+
+
+def _in_bins(counts, n_bins):
+    return F.transform(F.sequence(F.lit(1), n_bins), lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0).cast("bigint")))
 
 
 def fit_reference(df: DataFrame, features, n_bins: int = 10) -> DataFrame:
     """Percentile bins, their counts, mean and population deviation per feature.
 
-    Features with under 10 values, no spread or fewer distinct values than bins are left out.
+    Features with under 10 values, no spread or fewer distinct values than bins are left
+    out. Distinct counts, percentiles and bin counts all start from one table of value counts.
     """
-    long = long_form(df, features)
-    shape = long.groupBy("feature").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    distinct = value_counts(long, "value", ["feature"]).groupBy(F.col("feature").alias("_f")).agg(F.count("*").alias("n_unique"))
+    known = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
+    row = df.agg(*[a for i, f in enumerate(features) for a in (
+        F.count(known(f)).alias(f"n{i}"), F.avg(known(f)).alias(f"m{i}"), F.stddev_pop(known(f)).alias(f"s{i}"))])
+    shape = unfold(row, [F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("_n"), F.col(f"m{i}").alias("mean"),
+                                  F.col(f"s{i}").alias("std")) for i, f in enumerate(features)])
+    counts = value_counts(long_form(df, features), "value", ["feature"])
+    distinct = counts.groupBy(F.col("feature").alias("_f")).agg(F.count("*").alias("_u"), F.sum("n").alias("_t"))
     kept = shape.join(distinct, F.col("feature") == F.col("_f")).filter(
-        (F.col("n") >= 10) & (F.col("std") >= 1e-8) & (F.col("n_unique") >= n_bins)).select("feature", "n", "mean", "std")
-    q = exact_quantiles(long, "value", [i / n_bins for i in range(n_bins + 1)], ["feature"], "bins")
-    edges = q.select("feature", F.array_sort(F.array_distinct("bins")).alias("bins")).filter(F.size("bins") >= 2)
-    edges = edges.join(kept.select(F.col("feature").alias("_f")), F.col("feature") == F.col("_f"), "left_semi")
-    counts = _bin_counts(long, edges).groupBy(F.col("feature").alias("_f")).agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_c"))  # at most n_bins entries
-    ref = edges.join(counts, F.col("feature") == F.col("_f")).select("feature", "bins", F.transform(
-        F.sequence(F.lit(1), F.size("bins") - 1),
-        lambda i: F.coalesce(F.try_element_at("_c", i), F.lit(0).cast("bigint"))).alias("ref_counts"))
-    return ref.join(kept, "feature").select("feature", "bins", "ref_counts", "mean", "std")
+        (F.col("_n") >= 10) & (F.col("std") >= 1e-8) & (F.col("_u") >= n_bins)).select("feature", "mean", "std")
+    q = quantiles_from_counts(counts, "value", [i / n_bins for i in range(n_bins + 1)], ["feature"], "bins")
+    edges = kept.join(q.select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("bins")).alias("bins")),
+                      F.col("feature") == F.col("_f")).drop("_f").filter(F.size("bins") >= 2)
+    per = _per_feature(_bin_counts(counts, edges, F.col("n"))).select(F.col("feature").alias("_f"), "_c")
+    return edges.join(per, F.col("feature") == F.col("_f")).select(
+        "feature", "bins", _in_bins(F.col("_c"), F.size("bins") - 1).alias("ref_counts"), "mean", "std")
 
 
 def detect(new: DataFrame, reference: DataFrame, features, alert_at: float = PSI_AMBER_BELOW, min_rows: int = 5) -> DataFrame:
-    """PSI per feature with status and alert (S8). One pass over the new data plus tiny joins."""
-    long = long_form(new, features)
-    stats = long.groupBy(F.col("feature").alias("_f")).agg(F.count("*").alias("_n"), F.avg("value").alias("mean_new"))
-    counts = _bin_counts(long, reference)
-    ref = reference.select(F.col("feature").alias("_r"), F.posexplode("ref_counts").alias("_i", "_rc"),
-                           F.aggregate("ref_counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("_rt"))
-    both = ref.join(counts, (F.col("_r") == F.col("feature")) & (F.col("_i") + 1 == F.col("bin")), "left").select(
-        "_r", "_rc", "_rt", F.coalesce("n", F.lit(0)).alias("_nc"))
-    total = both.groupBy(F.col("_r").alias("_t")).agg(F.sum("_nc").alias("_nt"))
-    share = lambda c, t: F.greatest(F.col(c) / F.greatest(F.col(t), F.lit(1)), F.lit(FLOOR))
-    old, now = share("_rc", "_rt"), share("_nc", "_nt")
-    psi = both.join(total, F.col("_r") == F.col("_t")).groupBy(F.col("_r").alias("feature")).agg(
-        F.greatest(F.sum((now - old) * F.log(now / old)), F.lit(0.0)).alias("psi"))
-    return (
-        psi.join(stats, F.col("feature") == F.col("_f")).filter(F.col("_n") >= min_rows)
-        .join(reference.select(F.col("feature").alias("_g"), F.col("mean").alias("mean_train")), F.col("feature") == F.col("_g"))
-        .select("feature", "psi", psi_status(F.col("psi")).alias("status"), "mean_train", "mean_new",
-                (F.col("psi") >= alert_at).cast("int").alias("alert"))
-    )
+    """PSI per feature with status and alert (S8): one pass over the new data.
+
+    ``reference`` is a fitted, saved table with one row per feature.
+    """
+    per = _per_feature(_bin_counts(long_form(new, features), reference, F.lit(1))).filter(F.col("_rows") >= min_rows)
+    both = F.broadcast(reference).withColumnRenamed("feature", "_f").join(per, F.col("feature") == F.col("_f"))
+    total = lambda c: F.greatest(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(1))
+    floored = lambda c, t: F.transform(c, lambda x: F.greatest(x / t, F.lit(FLOOR)))
+    both = both.withColumn("_new", _in_bins(F.col("_c"), F.size("bins") - 1))
+    both = both.withColumns({"_o": floored(F.col("ref_counts"), total(F.col("ref_counts"))), "_w": floored(F.col("_new"), total(F.col("_new")))})
+    terms = F.zip_with("_o", "_w", lambda o, w: (w - o) * F.log(w / o))
+    psi = F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    return both.withColumn("psi", psi).select(
+        "feature", "psi", psi_status(F.col("psi")).alias("status"), F.col("mean").alias("mean_train"), F.col("_mean").alias("mean_new"),
+        (F.col("psi") >= alert_at).cast("int").alias("alert"))
 
 
 def psi_status(psi):

@@ -20,18 +20,9 @@ def order_cell(value: Column, bits: int = 10) -> Column:
     """
     size = F.abs(value.cast("double"))
     power = F.greatest(F.floor(F.log2(size)), F.lit(-1022))
-    inside = F.floor((size / F.pow(F.lit(2.0), power) - 1) * F.lit(float(2**bits)))
-    cell = (power + 1100) * F.lit(2**bits) + inside + 1
-    return F.when(value.isNull(), None).when(size == 0, F.lit(0).cast("bigint")).otherwise(
-        F.signum(value).cast("bigint") * cell)
-
-
-def _same(left: DataFrame, right: DataFrame, keys) -> Column:
-    tests = [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
+    inside = F.floor((size / F.pow(F.lit(2.0), power) - 1) * float(2**bits))
+    cell = (power + 1100) * 2**bits + inside + 1
+    return F.when(size == 0, F.lit(0).cast("bigint")).otherwise(F.signum(value).cast("bigint") * cell)
 
 
 def running_totals(df: DataFrame, sums, order, groups=(), cell: str = "_cell", cell_order: Column | None = None) -> DataFrame:
@@ -41,19 +32,17 @@ def running_totals(df: DataFrame, sums, order, groups=(), cell: str = "_cell", c
     increases) along ``order``; ``cell_order`` sorts the cells the same way.
     """
     groups = list(groups)
+    keys = [*groups, cell]
     cell_order = F.col(cell).asc_nulls_last() if cell_order is None else cell_order
-    inner = W.partitionBy(*groups, cell).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = df.select("*", *[F.sum(s).over(inner).alias(f"_in_{s}") for s in sums])
     outer = W.partitionBy(*groups).orderBy(cell_order).rowsBetween(W.unboundedPreceding, -1)
-    cells = (
-        df.groupBy(*groups, cell).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-        .select(
-            *[F.col(k).alias(f"_r_{k}") for k in [*groups, cell]],
-            *[F.coalesce(F.sum(f"_t_{s}").over(outer), F.lit(0)).alias(f"_before_{s}") for s in sums],
-        )
-    )
-    joined = local.join(cells, _same(local, cells, [*groups, cell]), "inner")
-    return joined.select(*df.columns, *[(F.col(f"_before_{s}") + F.col(f"_in_{s}")).alias(f"cum_{s}") for s in sums])
+    cells = df.groupBy(*keys).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    cells = cells.select(*keys, *[F.sum(f"_t_{s}").over(outer).alias(f"_b_{s}") for s in sums])
+    cells = cells.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    joined = local.join(cells, F.expr(" AND ".join(f"`{k}` <=> `_r_{k}`" for k in keys)), "inner")
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns],
+                             *[f"coalesce(`_b_{s}`, 0) + `_in_{s}` AS `cum_{s}`" for s in sums])
 
 
 def value_counts(df: DataFrame, value: str, groups=()) -> DataFrame:
@@ -68,36 +57,41 @@ def exact_quantiles(df: DataFrame, value: str, shares, groups=(), out: str = "qu
     one buffer, this selects by counts: the cell totals tell which cell holds each wanted
     rank, and only rows of those cells are looked at.
     """
+    return quantiles_from_counts(value_counts(df, value, groups), value, shares, groups, out)
+
+
+def quantiles_from_counts(counts: DataFrame, value: str, shares, groups=(), out: str = "quantiles") -> DataFrame:
+    """``exact_quantiles`` for a table of (groups, value, n).
+
+    ``cells`` holds one row per group and cell, ``wanted`` one per group, share and cell
+    that has one of the share's two neighbouring ranks. Only the values of wanted cells
+    are sorted.
+    """
     groups = list(groups)
-    counts = value_counts(df, value, groups).withColumn("_cell", order_cell(F.col(value)))
-    by_cell = counts.groupBy(*groups, "_cell").agg(F.sum("n").alias("_cn"))
+    keys = [*groups, "_cell"]
+    match = F.expr(" AND ".join(f"`{k}` <=> `_r_{k}`" for k in keys))
+    counts = counts.withColumn("_cell", order_cell(F.col(value)))
     run = W.partitionBy(*groups).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(*groups)
-    by_cell = by_cell.select("*", F.sum("_cn").over(run).alias("_upto"), F.sum("_cn").over(whole).alias("_total"))
-    position = (F.col("_total") - 1) * F.col("_share")
+    cells = counts.groupBy(*keys).agg(F.sum("n").alias("_cn"))
+    cells = cells.select("*", F.sum("_cn").over(run).alias("_upto"), F.sum("_cn").over(W.partitionBy(*groups)).alias("_total"))
+    listed = ", ".join(f"double('{s}')" for s in shares)
     wanted = (
-        by_cell.select("*", F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("_i", "_share"))
-        .select("*", F.floor(position).alias("_lo"), F.ceil(position).alias("_hi"), (position - F.floor(position)).alias("_w"))
-        .withColumn("_from", F.col("_upto") - F.col("_cn"))
+        cells.selectExpr("*", f"posexplode(array({listed})) AS (_i, _share)")
+        .selectExpr(*[f"`{k}` AS `_r_{k}`" for k in keys], "_i", "_upto", "_upto - _cn AS _from",
+                    "floor((_total - 1) * _share) AS _lo", "ceil((_total - 1) * _share) AS _hi",
+                    "(_total - 1) * _share - floor((_total - 1) * _share) AS _w")
+        .filter("(_lo >= _from AND _lo < _upto) OR (_hi >= _from AND _hi < _upto)")
     )
-    in_cell = lambda r: (F.col(r) >= F.col("_from")) & (F.col(r) < F.col("_upto"))
-    wanted = wanted.filter(in_cell("_lo") | in_cell("_hi")).select(
-        *[F.col(k).alias(f"_r_{k}") for k in [*groups, "_cell"]], "_i", "_lo", "_hi", "_w", "_from")
-    inner = W.partitionBy(*groups, "_cell").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = counts.select("*", F.sum("n").over(inner).alias("_cum"))
-    hit = near.join(wanted, _same(near, wanted, [*groups, "_cell"]), "inner")
-    upto, frm = F.col("_from") + F.col("_cum"), F.col("_from") + F.col("_cum") - F.col("n")
-    at = lambda r: F.max(F.when((F.col(r) >= frm) & (F.col(r) < upto), F.col(value).cast("double")))
-    low_high = hit.groupBy(*groups, "_i").agg(at("_lo").alias("_a"), at("_hi").alias("_b"), F.first("_w").alias("_w"))
-    mixed = low_high.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w"))
+    inner = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = counts.join(wanted.select(*[f"_r_{k}" for k in keys]), match, "left_semi").select("*", F.sum("n").over(inner).alias("_cum"))
+    hit = near.join(wanted, match).selectExpr(
+        *groups, "_i", "_w",
+        f"CASE WHEN _lo >= _from + _cum - n AND _lo < _from + _cum THEN double(`{value}`) END AS _a",
+        f"CASE WHEN _hi >= _from + _cum - n AND _hi < _from + _cum THEN double(`{value}`) END AS _b")
+    pick = lambda i, c: f"max(CASE WHEN _i = {i} THEN {c} END)"
+    mixed = [f"{pick(i, '_a')} + ({pick(i, '_b')} - {pick(i, '_a')}) * {pick(i, '_w')}" for i in range(len(shares))]
     # One short array per group: len(shares) entries.
-    spread = [F.max(F.when(F.col("_i") == i, F.col("_q"))) for i in range(len(shares))]
-    return mixed.groupBy(*groups).agg(F.array(*spread).alias(out))
-
-
-def exact_median(df: DataFrame, value: str, groups=(), out: str = "median") -> DataFrame:
-    q = exact_quantiles(df, value, [0.5], groups, "_q")
-    return q.select(*groups, F.col("_q")[0].alias(out))
+    return hit.groupBy(*groups).agg(F.expr(f"array({', '.join(mixed)})").alias(out))
 
 
 def most_frequent(df: DataFrame, value: str, groups=(), out: str = "mode") -> DataFrame:
@@ -105,3 +99,8 @@ def most_frequent(df: DataFrame, value: str, groups=(), out: str = "mode") -> Da
     counts = value_counts(df, value, groups)
     best = F.min_by(F.col(value), F.struct(-F.col("n"), F.col(value)))
     return counts.groupBy(*groups).agg(best.alias(out))
+
+
+def exact_median(df: DataFrame, value: str, groups=(), out: str = "median") -> DataFrame:
+    q = exact_quantiles(df, value, [0.5], groups, "_q")
+    return q.select(*groups, F.col("_q")[0].alias(out))

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .profiles import unfold
 
@@ -45,11 +46,18 @@ def t_test_p(r: float, n: int) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([t_test_p(a, int(b)) for a, b in zip(r, n)])
 
 
+def safe_corr(x, y):
+    """Correlation over the pairs with both values; null without spread."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def label_correlation(df: DataFrame, label: str, features, min_rows: int = 30, with_p: bool = True) -> DataFrame:
     """Point-biserial r per feature with enough rows and at least two values, in one pass.
 
@@ -58,7 +66,7 @@ def label_correlation(df: DataFrame, label: str, features, min_rows: int = 30, w
     features = list(features)
     y = F.col(label).cast("double")
     row = df.agg(*[a for i, f in enumerate(features) for a in (
-        F.corr(F.when(y.isNotNull(), F.col(f).cast("double")), y).alias(f"r{i}"),
+        safe_corr(F.col(f).cast("double"), y).alias(f"r{i}"),
         F.count(F.when(y.isNotNull(), F.col(f))).alias(f"n{i}"),
         F.min(F.when(y.isNotNull(), F.col(f).cast("double"))).alias(f"a{i}"),
         F.max(F.when(y.isNotNull(), F.col(f).cast("double"))).alias(f"b{i}"))])
@@ -73,7 +81,7 @@ def correlation_matrix(df: DataFrame, features) -> DataFrame:
     """Pairwise-complete correlations in long form, both orders and the diagonal; one pass."""
     features = list(features)
     pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    row = df.agg(*[F.corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs])
+    row = df.agg(*[safe_corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs])
     items = []
     for i, j in pairs:
         c = F.col(f"c{i}_{j}")

@@ -19,6 +19,8 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "fieldtally"
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture costs several JVM round trips per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("FIELDTALLY_DRIVER_MEMORY", "8g"))
         .getOrCreate()
