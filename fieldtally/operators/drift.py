@@ -52,13 +52,13 @@ def fit_reference(df: DataFrame, features, n_bins: int = 10) -> DataFrame:
     """
     known = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
     row = df.agg(*[a for i, f in enumerate(features) for a in (
-        F.count(known(f)).alias(f"n{i}"), F.avg(known(f)).alias(f"m{i}"), F.stddev_pop(known(f)).alias(f"s{i}"))])
-    shape = unfold(row, [F.struct(F.lit(f).alias("feature"), F.col(f"n{i}").alias("_n"), F.col(f"m{i}").alias("mean"),
-                                  F.col(f"s{i}").alias("std")) for i, f in enumerate(features)])
+        F.avg(known(f)).alias(f"m{i}"), F.stddev_pop(known(f)).alias(f"s{i}"))])
+    shape = unfold(row, [F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"))
+                         for i, f in enumerate(features)])
     counts = value_counts(long_form(df, features), "value", ["feature"])
     distinct = counts.groupBy(F.col("feature").alias("_f")).agg(F.count("*").alias("_u"), F.sum("n").alias("_t"))
     kept = shape.join(distinct, F.col("feature") == F.col("_f")).filter(
-        (F.col("_n") >= 10) & (F.col("std") >= 1e-8) & (F.col("_u") >= n_bins)).select("feature", "mean", "std")
+        (F.col("_t") >= 10) & (F.col("std") >= 1e-8) & (F.col("_u") >= n_bins)).select("feature", "mean", "std")
     q = quantiles_from_counts(counts, "value", [i / n_bins for i in range(n_bins + 1)], ["feature"], "bins")
     edges = kept.join(q.select(F.col("feature").alias("_f"), F.array_sort(F.array_distinct("bins")).alias("bins")),
                       F.col("feature") == F.col("_f")).drop("_f").filter(F.size("bins") >= 2)
