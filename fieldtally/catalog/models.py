@@ -14,7 +14,7 @@ from ..operators.ranking import risk_list, top_drivers
 from ..operators.splits import hash_bucket, month_roles, split_flag
 from ..plans.person_table import add_dose_scores
 from ..session import fresh_path
-from ..sources.tables import layer
+from ..sources.tables import layer, read_table
 from .checks import target_rows
 from .registry import query
 from .shape import as_of, rounded
@@ -27,8 +27,17 @@ KEYS = ["visit_no"]
 SETTINGS = T.TrainSettings(trees=10, depth=4, step=0.2, folds=2)
 
 
+_GOLD: dict = {}
+
+
 def visit_rows(t):
-    return add_dose_scores(target_rows(t), as_of()).select(*KEYS, "month_clean", LABEL, *NUMERIC, *BINARY, *CATEGORICAL)
+    """The feature layer the model stages read, written once per session and table folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _GOLD:
+        rows = add_dose_scores(target_rows(t), as_of()).select(*KEYS, "month_clean", LABEL, *NUMERIC, *BINARY, *CATEGORICAL)
+        _GOLD[key] = fresh_path(t.spark, "model_rows") + ".parquet"
+        layer(rows, _GOLD[key])
+    return read_table(t.spark, _GOLD[key])
 
 
 def parts(t):
@@ -44,9 +53,7 @@ def fitted(t) -> tuple[T.RiskModel, str]:
     """One trained and saved model per session and table folder."""
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _FITTED:
-        rows = layer(visit_rows(t), fresh_path(t.spark, "training") + ".parquet")
-        train_rows = rows.filter(~split_flag(KEYS, 0.2, 42))
-        model = T.train(train_rows, LABEL, KEYS, NUMERIC, BINARY, CATEGORICAL, SETTINGS)
+        model = T.train(parts(t)[0], LABEL, KEYS, NUMERIC, BINARY, CATEGORICAL, SETTINGS)
         folder = fresh_path(t.spark, "model")
         model.save(t.spark, folder)
         _FITTED[key] = (model, folder)

@@ -289,3 +289,17 @@ def _(t):
   UNION ALL SELECT 'flags', 1, (SELECT (count(even) > 0)::INT FROM features)""")
 def _(t):
     return K.group_availability(t.features, {"amounts": ("price", "absent", "never_joined"), "flags": ("even",)})
+
+
+@query("flagship_monthly_prevalence", uses="iz_target hv_area", sql="""
+  SELECT month_clean, count(*) AS n, sum(is_defaulter)::BIGINT AS positives, round(avg(is_defaulter), 6) AS positive_rate,
+    round(avg(h.monthly_homevisit_rate), 6) AS mean_homevisit_rate
+  FROM iz_target v LEFT JOIN hv_area h ON v.contact_parent_id = h.chw_area_key WHERE month_clean IS NOT NULL GROUP BY 1""")
+def _(t):
+    """Latest visit per person and month, visit rate per area, left join, label, monthly prevalence."""
+    rate = A.visit_rate_by_area(clean_home_visits(t.homevisit)).select("chw_area_key", "monthly_homevisit_rate")
+    rows = left_join(target_rows(t).withColumn("chw_area_key", F.col("contact_parent_id")), rate, "chw_area_key")
+    out = rows.filter(F.col("month_clean").isNotNull()).groupBy("month_clean").agg(
+        F.count("*").alias("n"), F.sum("is_defaulter").alias("positives"), F.avg("is_defaulter").alias("positive_rate"),
+        F.avg("monthly_homevisit_rate").alias("mean_homevisit_rate"))
+    return rounded(out)

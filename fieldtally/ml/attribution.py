@@ -34,7 +34,8 @@ class Leaf:
 
 def read_leaves(spark: SparkSession, folder: str) -> list[Leaf]:
     """All leaves of a saved boosted-tree model."""
-    weights = {r["treeID"]: r["weights"] for r in spark.read.parquet(f"{folder}/treesMetadata").select("treeID", "weights").collect()}
+    weighted = spark.read.parquet(f"{folder}/treesMetadata").toDF("treeID", "metadata", "weight")
+    weights = {r["treeID"]: r["weight"] for r in weighted.select("treeID", "weight").collect()}
     nodes: dict[int, dict[int, object]] = {}
     for r in spark.read.parquet(f"{folder}/data").select("treeID", "nodeData").collect():
         nodes.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
