@@ -254,14 +254,14 @@ def effect_rows(t):
   WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest({_EFFECT_SQL}) AS v, unnest(['discount', 'tax', 'quantity', 'price']) AS f,
       unnest([1, 2, 3, 4]) AS i, unnest([l_discount, l_tax, l_quantity, l_extendedprice]) AS x FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY abs(v) DESC, i) AS k FROM e)
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(k AS INT) AS rank, f AS feature, x AS feature_value, round(v, 6) AS shap_value,
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(k AS INT) AS rank, f AS feature, x AS feature_value, round(v, 9) AS shap_value,
     CASE WHEN v > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction FROM r WHERE k <= 3""")
 def _(t):
     top = effect_rows(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                 F.posexplode(top_drivers("shap_values", "feature_values", _EFFECTS, 3)).alias("i", "d"))
     return rounded(top.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("i") + 1).alias("rank"), F.col("d.feature").alias("feature"),
                               F.col("d.feature_value").alias("feature_value"), F.col("d.shap_value").alias("shap_value"),
-                              driver_direction(F.col("d.shap_value")).alias("direction")))
+                              driver_direction(F.col("d.shap_value")).alias("direction")), 9)
 
 
 @query("i30_mean_absolute_effect", sql="""

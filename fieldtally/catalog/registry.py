@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import tune
 from . import standins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,9 +38,7 @@ def query(name: str, sql: str | None = None, uses: str = ""):
 
     def add(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            # Keys, months and dates are defined in UTC.
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(Tables(spark, folder))
+            return fn(Tables(tune(spark), folder))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -51,8 +51,8 @@ def compare(spark, con, folder, name, fn, sql):
     if got_rows == want_rows:
         return "OK", len(data), took, note
     near = rows(df.columns, data, 9) == rows(cols, want, 9)
-    diff = [x for x in got_rows if x not in set(want_rows)][:2]
-    other = [x for x in want_rows if x not in set(got_rows)][:2]
+    have, need = set(got_rows), set(want_rows)
+    diff, other = sorted(have - need)[:2], sorted(need - have)[:2]
     return ("NEAR" if near else "FAIL"), len(data), took, f"{note} n={len(got_rows)}/{len(want_rows)} {diff} <> {other}"
 
 
