@@ -16,9 +16,9 @@ FEATURES = ["price", "quantity", "discount", "even", "constant", "absent", "unit
 
 
 def halves(t):
-    """Reference rows, and later rows with the prices doubled."""
+    """Reference rows, and later rows with higher prices."""
     old = t.features.filter(F.col("event_datetime") < SPLIT)
-    new = t.features.filter(F.col("event_datetime") >= SPLIT).withColumn("price", F.col("price") * 2)
+    new = t.features.filter(F.col("event_datetime") >= SPLIT).withColumn("price", F.col("price") + 50000)
     return old, new
 
 
@@ -29,7 +29,7 @@ def _fit_sql(bins):
     shares = ", ".join(f"{i}.0 / {bins}" for i in range(bins + 1))
     return f"""lo AS (SELECT u.f AS feature, u.v FROM features, LATERAL (SELECT unnest([{', '.join(f"{{'f': '{f}', 'v': CAST({f} AS DOUBLE)}}" for f in FEATURES)}], recursive := true)) u
       WHERE event_datetime < '{SPLIT}' AND u.v IS NOT NULL),
-  nw AS (SELECT u.f AS feature, u.v FROM (SELECT * REPLACE (price * 2 AS price) FROM features WHERE event_datetime >= '{SPLIT}') g,
+  nw AS (SELECT u.f AS feature, u.v FROM (SELECT * REPLACE (price + 50000 AS price) FROM features WHERE event_datetime >= '{SPLIT}') g,
       LATERAL (SELECT unnest([{', '.join(f"{{'f': '{f}', 'v': CAST({f} AS DOUBLE)}}" for f in FEATURES)}], recursive := true)) u WHERE u.v IS NOT NULL),
   st AS (SELECT feature, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, list_sort(list_distinct(quantile_cont(v, [{shares}]))) AS bins FROM lo GROUP BY 1
       HAVING count(*) >= 10 AND stddev_pop(v) >= 1e-8 AND count(DISTINCT v) >= {bins}),

@@ -110,6 +110,8 @@ def _(t):
 
 
 def _metric_row(scored, name):
+    """Metrics of a scored table. The scores are written first: the model runs once, the metrics read its output."""
+    scored = layer(scored.select(LABEL, "risk_score"), fresh_path(scored.sparkSession, "scored") + ".parquet")
     areas = curve_areas(scored, LABEL, "risk_score").select(F.lit(name).alias("model"), "n", "roc_auc", "average_precision")
     return areas.withColumn("brier_score", point_metrics(scored, LABEL, "risk_score").select("brier_score").scalar())
 

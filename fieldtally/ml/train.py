@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.risk import score_tier
 from ..operators.metrics import curve_areas
 from ..operators.splits import hash_bucket, split_flag
+from ..session import shared_folder
 from .prepare import Preparation
 
 
@@ -71,14 +73,17 @@ def raw_score(df: DataFrame, model: GBTClassificationModel, out: str) -> DataFra
 
 
 def fit_isotonic(scored: DataFrame, label: str, score: str) -> IsotonicRegressionModel:
-    """Isotonic fit on one weighted row per distinct score, which gives the same curve as all rows."""
-    per_score = scored.groupBy(F.col(score).alias("_s")).agg(F.avg(label).alias("_y"), F.count("*").cast("double").alias("_w"))
+    """Isotonic fit on one weighted row per score of six decimals.
+
+    Rows with one score only enter by their mean and number, so pooling them changes nothing;
+    the six decimals bound the fitted curve, which Spark finishes on the driver, at a million points.
+    """
+    per_score = scored.groupBy(F.round(score, 6).alias("_s")).agg(F.avg(label).alias("_y"), F.count("*").cast("double").alias("_w"))
     return IsotonicRegression(featuresCol="_s", labelCol="_y", weightCol="_w").fit(per_score)
 
 
 def fit_sigmoid(scored: DataFrame, label: str, score: str) -> LogisticRegressionModel:
     """Sigmoid on the log-odds of the raw score."""
-    from pyspark.ml.feature import VectorAssembler
     p = F.least(F.greatest(F.col(score), F.lit(1e-9)), F.lit(1 - 1e-9))
     odds = scored.select(F.col(label).cast("double").alias("_y"), F.log(p / (1 - p)).alias("_m"))
     rows = VectorAssembler(inputCols=["_m"], outputCol="_v").transform(odds)
@@ -178,7 +183,9 @@ class AveragePrecision(Evaluator):
         self.label = label
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        scored = dataset.select(F.col(self.label).alias("y"), probability().alias("s"))
+        # The model runs once; the metric's branches read the checkpointed scores.
+        shared_folder(dataset.sparkSession)
+        scored = dataset.select(F.col(self.label).alias("y"), probability().alias("s")).checkpoint()
         return curve_areas(scored, "y", "s").first()["average_precision"] or 0.0
 
     def isLargerBetter(self) -> bool:

@@ -7,15 +7,11 @@ per task, not its whole history.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .prefix import running_totals
-
-
-def _null_safe(df: DataFrame, keys) -> list[Column]:
-    return [F.col(k) for k in keys]
+from .prefix import order_cell, running_totals
 
 
 def latest_rows(df: DataFrame, keys, ts: str, tiebreak, nulls_first: bool = False) -> DataFrame:
@@ -31,7 +27,7 @@ def latest_rows(df: DataFrame, keys, ts: str, tiebreak, nulls_first: bool = Fals
 
 def top_row(df: DataFrame, keys, order) -> DataFrame:
     """The first row per key in the given order."""
-    w = W.partitionBy(*_null_safe(df, keys)).orderBy(*order)
+    w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
@@ -67,7 +63,7 @@ def rows_at_positions(df: DataFrame, score: str, tiebreak, positions) -> DataFra
     score-cell totals, so the table is never sorted by one task.
     """
     order = [F.col(score).asc(), *[F.col(t).asc() for t in tiebreak]]
-    keyed = df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_cell", F.floor(F.col(score) * 4096))
+    keyed = df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_cell", order_cell(F.col(score)))
     ranked = running_totals(keyed, ["_one"], order, cell="_cell", cell_order=F.col("_cell").asc())
     n = df.agg(F.count("*")).scalar()
     ranked = ranked.withColumn("_n", n).withColumn("_pos", F.col("cum__one") - 1)

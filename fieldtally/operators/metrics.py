@@ -168,7 +168,7 @@ def top_k_threshold(df: DataFrame, score: str, share: float = 0.2) -> DataFrame:
 def precision_at_share(df: DataFrame, label: str, score: str, keys, share: float = 0.2) -> DataFrame:
     """Share of positives among the top rows; ties at the cut go to the smaller keys.
 
-    Only the rows that tie at the cut are put in order, and those in pieces by key hash-free cells.
+    Only the rows that tie at the cut are put in order, in pieces by ranges of the first (numeric) key.
     """
     cut = top_k_threshold(df, score, share).scalar()
     n = df.filter(F.col(score).isNotNull()).agg(F.count("*")).scalar()
