@@ -5,6 +5,8 @@ All steps are one lazy plan; nothing runs until the table is written or read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ..functions.risk import target_columns
 from ..functions.text import yes_no
 from ..operators import aggregates as A
 from ..operators.codes import category_table, encode_categories
-from ..operators.joins import add_absent, left_join, union_common
+from ..operators.joins import add_absent, full_join, left_join, union_common
 from ..operators.latest import latest_rows, top_row
 
 CODES = {
@@ -92,6 +94,25 @@ def household_planning(*tables: DataFrame | None, key: str = "contact_parent_id"
     return A.max_over_union(present, key, "on_fp_binary", "household_on_fp") if present else None
 
 
+def area_context(tables: dict[str, DataFrame], as_of: Column) -> DataFrame | None:
+    """All area aggregates side by side, one row per area, so the visits are joined once.
+
+    Each part leaves its aggregation partitioned by area; joining them needs no further shuffle.
+    """
+    get, parts = tables.get, []
+    if get("supervision") is not None:
+        parts.append(A.supervision_by_area(get("supervision"), as_of).drop("chw_last_supervision_date"))
+    if get("population") is not None:
+        parts.append(A.workload_by_area(get("population")))
+    if get("homevisit") is not None:
+        parts.append(A.visit_rate_by_area(get("homevisit")).select("chw_area_key", "monthly_homevisit_rate"))
+    registrations = [t for t in (get("preg_reg"), get("preg_reg2")) if t is not None]
+    maternal = A.maternal_by_area(union_common(*registrations)) if registrations else None
+    if maternal is not None:
+        parts.append(maternal)
+    return reduce(lambda a, b: full_join(a, b, ["chw_area_key"]), parts) if parts else None
+
+
 def build_person_table(tables: dict[str, DataFrame], as_of: Column, tiebreaks: dict[str, list[str]]) -> DataFrame:
     """All steps over cleaned tables. ``tiebreaks`` names unique columns per table."""
     get = tables.get
@@ -106,13 +127,11 @@ def build_person_table(tables: dict[str, DataFrame], as_of: Column, tiebreaks: d
     registry_tiebreak = tiebreaks.get("active_chps", [])
     df = add_target(add_dose_scores(visits, as_of))
     df = join_registry(df, get("active_chps"), registry_tiebreak)
-    if get("supervision") is not None:
-        df = left_join(df, A.supervision_by_area(get("supervision"), as_of).drop("chw_last_supervision_date"), "chw_area_key")
-    if get("population") is not None:
-        df = left_join(df, A.workload_by_area(get("population")), "chw_area_key")
-    if get("homevisit") is not None:
-        df = left_join(df, A.visit_rate_by_area(get("homevisit")).select("chw_area_key", "monthly_homevisit_rate"), "chw_area_key")
-    df = join_maternal(df, get("preg_reg"), get("preg_reg2"))
+    context = area_context(tables, as_of)
+    if context is not None:
+        df = left_join(df, context, "chw_area_key")
+    if get("preg_reg") is not None or get("preg_reg2") is not None:
+        df = add_absent(df, A.MATERNAL)
     df = join_audit_label(df, get("pnc"), tiebreaks.get("pnc", []))
     # Codes come before the collapse (S14), from a narrow second read of key and names only.
     codes = {c: out for c, out in CODES.items() if c in df.columns}
