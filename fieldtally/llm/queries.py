@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_greedy_tiling
+from .katz import op3_katz_backoff
+from .licences import op4_diagonal_voting
+from .neardup import op10_tensored_minhash
 from .packing import op7_best_fit_packing
+from .pii import op9_contextual_pii
 from .quality import op1_quality_cascade
 from .sharding import op5_sampled_splitters
 from .tokens import op6_token_counts
+from .urls import op8_path_templates
 
-QUERIES = {
-    "op1_quality_cascade": op1_quality_cascade,
-    "op5_sampled_splitters": op5_sampled_splitters,
-    "op6_token_counts": op6_token_counts,
-    "op7_best_fit_packing": op7_best_fit_packing,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_cascade, op2_greedy_tiling, op3_katz_backoff, op4_diagonal_voting, op5_sampled_splitters, op6_token_counts,
+    op7_best_fit_packing, op8_path_templates, op9_contextual_pii, op10_tensored_minhash)}
 ORACLES: dict[str, str] = {}
