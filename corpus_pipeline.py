@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldtally.llm.common import ready, table, written
+from fieldtally.llm.decontaminate import without_contaminated
+from fieldtally.llm.neardup import first_of_each
 from fieldtally.llm.packing import pack
+from fieldtally.llm.pii import redacted
 from fieldtally.llm.quality import keep_good
 from fieldtally.llm.tokens import vocabulary
 
@@ -19,21 +22,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8."""
+    return first_of_each(docs, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item by half or more."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in brackets by its kind."""
+    return redacted(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in sequences of at most 1024."""
     return pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("quality", quality_rules),
-    ("packing", best_fit_packing),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("best_fit_packing", best_fit_packing),
 ]
 
-# Shingle links, tilings and token merges are not SQL; the tests check each stage by brute force.
+# Shingle links, tilings and token merges are not SQL; the tests hold the stages against
+# brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to the documents table; each result is written and read again."""
     docs = table(ready(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

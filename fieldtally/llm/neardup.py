@@ -185,7 +185,8 @@ def _family_work(buckets: DataFrame, known: DataFrame, weight: DataFrame) -> Dat
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, first.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, first, h (a
+    hash of the row's id and text).
 
     Links join texts whose sets of ``width``-word shingles have 100 * intersection >=
     percent * union; component_id is the smallest doc_id that links reach, kept tells
@@ -233,12 +234,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     grouped = classes.join(known, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     best = grouped.groupBy("component").agg(F.min("first").alias("best"))
     grouped = written(grouped.join(best, "component").select("content", "n", "best"), "near-components")
-    linked = signed.where("n > 0").select("doc_id", "row", "content", "n").join(grouped, ["content", "n"]).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("first"))
-    alone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    linked = signed.where("n > 0").select("doc_id", "row", "content", "n", "h").join(grouped, ["content", "n"]).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("first"), "h")
+    alone = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"), "h")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return linked.union(alone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "first")
+    return linked.union(alone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "first", "h")
+
+
+def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all its columns, of each component; rows without words all
+    stay. Of rows that repeat both id and text one stays, whatever their other columns."""
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    # A hash may stand for a repeated row, of which one is first and the others are not.
+    flags = found.groupBy("h").agg(F.max("first").alias("_first"), F.min("first").alias("_all"))
+    gone = written(flags.where("not _all"), "near-gone").select(F.col("h").alias("_h"), "_first")
+    joined = docs.join(gone, F.xxhash64(docs[id_col], docs[text_col]) == F.col("_h"), "left")
+    whole = joined.where("_h is null").select(*docs.columns)
+    partly = joined.where("_first").dropDuplicates(["_h"]).select(*docs.columns)
+    return whole.union(partly)
 
 
 def op10_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"), percent=85).drop("first")
+    return near_duplicates(table(spark, folder, "documents"), percent=85).drop("first", "h")

@@ -81,10 +81,13 @@ def _found(src: DataFrame) -> DataFrame:
         found, pieces = _places(F.col("text"), pattern)
         cut = cut.withColumn(f"{kind}_found", F.when(wanted, found)).withColumn(f"{kind}_pieces", F.when(wanted & (F.size(f"{kind}_found") > 0), pieces))
     whole = cut.select("row", "doc_id", "h", *(F.when(F.col(f"{k}_pieces").isNotNull(), _starts(f"{k}_found", f"{k}_pieces")).alias(k) for k in [*KINDS, "word"]))
-    spans = [
-        F.transform(F.filter(F.coalesce(F.col(k), F.array()), lambda x, k=k: _holds(k, x["match"])), lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("rank"), x["end"].alias("end")))
-        for i, k in enumerate(KINDS)]
     none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+
+    def valid(rank: int, kind: str) -> Column:
+        kept = F.filter(F.coalesce(F.col(kind), none), lambda x: _holds(kind, x["match"]))
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
+
+    spans = [valid(i, k) for i, k in enumerate(KINDS)]
     return whole.select("row", "doc_id", "h", F.array_sort(F.concat(*spans)).alias("base"), F.coalesce("word", none).alias("words"))
 
 
@@ -147,7 +150,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         names = F.array(*map(F.lit, KINDS))
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    def count(rank: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(text_of("base"), 256).alias("base_sha256"), text_of("all").alias("spans"), "all", "h")
 
 
