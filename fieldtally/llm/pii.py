@@ -73,8 +73,9 @@ def _holds(kind: str, match: Column) -> Column:
 
 
 def _found(src: DataFrame) -> DataFrame:
-    """The rows with ``base`` (start, rank, end; sorted) and ``words`` (start, end, match,
-    before), and without the text."""
+    """The rows, without the text, with the base ``entities`` (start, rank, end, match,
+    before; sorted), their spans as ``base`` and all identifiers as ``words`` (start, end,
+    match, before)."""
     cut = src
     for kind, pattern in [*PATTERNS.items(), ("word", WORD)]:
         wanted = F.col("text").rlike(NEEDED.get(kind, "[0-9@]"))
@@ -85,28 +86,32 @@ def _found(src: DataFrame) -> DataFrame:
 
     def valid(rank: int, kind: str) -> Column:
         kept = F.filter(F.coalesce(F.col(kind), none), lambda x: _holds(kind, x["match"]))
-        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["match"].alias("match"), x["before"].alias("before")))
 
-    spans = [valid(i, k) for i, k in enumerate(KINDS)]
-    return whole.select("row", "doc_id", "h", F.array_sort(F.concat(*spans)).alias("base"), F.coalesce("word", none).alias("words"))
+    entities = F.array_sort(F.concat(*(valid(i, k) for i, k in enumerate(KINDS))))
+    whole = whole.select("row", "doc_id", "h", entities.alias("entities"), F.coalesce("word", none).alias("words"))
+    base = F.transform("entities", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
+    return whole.withColumn("base", base)
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """(row, start, end, rank of the base entity in it or null, instance, pattern): each
-    identifier with each of its two patterns."""
-    one = found.where(F.size("words") > 0).select("row", "base", F.explode("words").alias("w"))
+    """(row, start, end, rank of the base entity or null, instance, pattern): each base
+    entity, and each other identifier, with each of its two patterns."""
+    entities = found.select("row", F.explode("entities").alias("e")).select("row", "e.start", "e.end", "e.rank", F.col("e.match").alias("instance"), "e.before")
+    other = found.where(F.size("words") > 0).select("row", "base", F.explode("words").alias("w"))
     edge = r"[^\p{L}\p{N}+@]"  # quotes, brackets and the like around an identifier
-    token = F.regexp_replace(F.regexp_replace(F.col("w.match"), rf"^{edge}+", ""), rf"{edge}+$", "")
-    skipped = F.length(F.col("w.match")) - F.length(F.regexp_replace(F.col("w.match"), rf"^{edge}+", ""))
-    one = one.select("row", "base", "w", token.alias("instance"), (F.col("w.start") + skipped).alias("start")).withColumn("end", F.col("start") + F.length("instance"))
-    one = one.where((F.length("instance") >= 5) & F.col("instance").rlike("[0-9].*[0-9]|@"))
-    own = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    left = F.split(F.trim(F.lower(F.regexp_replace("w.before", r"\s+", " "))), " ")
+    inner = F.regexp_replace("w.match", rf"^{edge}++", "")
+    other = other.select("row", "base", (F.col("w.end") - F.length(inner)).alias("start"), F.regexp_replace(inner, rf"(?<!{edge}){edge}++$", "").alias("instance"), "w.before")
+    other = other.withColumn("end", F.col("start") + F.length("instance"))
+    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+    other = other.where((F.length("instance") >= 5) & F.col("instance").rlike("[0-9].*[0-9]|@") & free)
+    both = entities.union(other.select("row", "start", "end", F.lit(None).cast("int"), "instance", "before"))
+
+    left = F.split(F.trim(F.lower(F.regexp_replace("before", r"\s+", " "))), " ")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("instance", "[0-9]", "9"), r"\p{L}+", "a"), "9{3,}", "9+")
-    one = one.select("row", "start", "end", F.try_element_at(own, F.lit(1))["rank"].alias("rank"), F.xxhash64("instance").alias("instance"),
-                     F.try_element_at(left, F.lit(-1)).alias("l1"), F.try_element_at(left, F.lit(-2)).alias("l2"), shape.alias("shape"))
-    patterns = F.array(F.xxhash64(F.lit("word"), "l1", "shape"), F.xxhash64(F.lit("words"), "l2", "l1"))
-    return one.where(F.coalesce(F.col("l1"), F.lit("")) != "").select("row", "start", "end", "rank", "instance", F.explode(patterns).alias("pattern"))
+    one, two = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2))
+    patterns = F.array(F.xxhash64(F.lit("word"), one, shape), F.xxhash64(F.lit("words"), two, one))
+    return both.where(one != "").select("row", "start", "end", "rank", F.xxhash64("instance").alias("instance"), F.explode(patterns).alias("pattern"))
 
 
 def trusted_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:

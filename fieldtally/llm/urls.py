@@ -100,7 +100,8 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
     sums = paths.join(trees, ["host", "path"]).groupBy("host", "tree").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
     merged = _merged(sums)
     labelled, blocked = paths.agg(F.sum("labelled"), F.sum("blocked")).first()
-    prior = ((blocked or 0) + 1) / ((labelled or 0) + 2)
+    # At most a half, so that a template without labels is never rejected.
+    prior = min(0.5, ((blocked or 0) + 1) / ((labelled or 0) + 2))
     whole = merged.groupBy("host", "merged").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
     weight = F.lit(PSEUDO) + (F.col("n") - F.col("labelled")) / 2
     whole = whole.withColumn("purity", (F.col("blocked") + F.lit(prior) * weight) / (F.col("labelled") + weight))

@@ -234,7 +234,7 @@ def test_token_counts_against_the_library(awkward, empty):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aZ'sté1 .\n\t\u00a0\u2003\u0085\u0130\u4e2d|<>") + ["<|endoftext|>", "  "]), max_size=40))
+@given(st.lists(st.sampled_from([*"aZ'sté1 .\n\t\u00a0\u2003\u0085\u0130\u4e2d|<>", "<|endoftext|>", "  "]), max_size=40).map("".join))
 def test_encoder_equals_the_library(text):
     path = vocabulary("byte_bpe_50k.json")
     got = np.frombuffer(encoder(path, vocabulary("byte_bpe_50k.tiktoken"))(text.encode()), "<u4").tolist()
