@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..plans import cleaners as C
 from ..plans import person_months as M
-from .joins import REG_KEYS, cohort, narrow_silver, planning, preg_parts, registry_silver
+from .joins import cohort, narrow_silver, newest_workers, planning, preg_parts, registry_silver
 from .registry import query
 from .shape import as_of_events, rounded, ts_text
 
@@ -125,4 +125,4 @@ def _(t):
     max(CASE WHEN u5_pop >= 0 THEN u5_pop END) AS u5_population_context, max(CASE WHEN wra_pop >= 0 THEN wra_pop END) AS wra_population_context
   FROM population p LEFT JOIN registry_latest r ON p.chw_uuid = r.chw_key WHERE r.county_clean IS NOT NULL AND r.sub_county_clean IS NOT NULL GROUP BY 1, 2""")
 def _(t):
-    return M.area_context(M.silver_population(t.population), registry_silver(t), REG_KEYS)
+    return M.area_context(M.silver_population(t.population), newest_workers(t))

@@ -144,11 +144,15 @@ def _(t):
 
 
 def registry_silver(t):
-    return M.silver_registry(t.registry, REG_KEYS)
+    return M.silver_registry(t.registry)
 
 
-def worker_context(t):
-    return M.worker_context(M.silver_supervision(t.supervision), M.silver_home_visits(t.homevisit), registry_silver(t), REG_KEYS)
+def newest_workers(t):
+    return M.newest_registry(registry_silver(t), REG_KEYS)
+
+
+def worker_context(t, newest=None):
+    return M.worker_context(M.silver_supervision(t.supervision), M.silver_home_visits(t.homevisit), newest_workers(t) if newest is None else newest)
 
 
 @query("c10_join_registry_context", uses="sup_months hv_months registry_latest", sql="""
@@ -164,18 +168,13 @@ def _(t):
 @query("c11_population_registry", uses="population registry_latest", sql="""
   SELECT p.c_custkey, r.county_clean, r.sub_county_clean FROM population p LEFT JOIN registry_latest r ON p.chw_uuid = r.chw_key""")
 def _(t):
-    newest = latest_rows(registry_silver(t), ["chw_key"], "registry_snapshot_datetime", REG_KEYS).select("chw_key", "county_clean", "sub_county_clean")
+    newest = newest_workers(t).select("chw_key", "county_clean", "sub_county_clean")
     return J.left_join(M.silver_population(t.population), newest, "chw_key").select("c_custkey", "county_clean", "sub_county_clean")
 
 
 def labelled(t):
     """Child-month labels with the worker key of the month's newest visit."""
-    s = narrow_silver(t)
-    keys = latest_rows(s.select("child_key", "year_month", "event_datetime", "visit_no", "contact_parent_id"),
-                       ["child_key", "year_month"], "event_datetime", ["visit_no"])
-    lab = M.month_labels(cohort(t), s, ["visit_no"])
-    return J.left_join(lab, keys.select("child_key", F.col("year_month").alias("index_month"), F.col("contact_parent_id").alias("chw_key")),
-                       ["child_key", "index_month"])
+    return M.month_labels(cohort(t), narrow_silver(t), ["visit_no"], carry={"contact_parent_id": "chw_key"})
 
 
 LABELLED = """newest AS (SELECT * FROM slv_iz QUALIFY row_number() OVER (PARTITION BY child_key, year_month ORDER BY event_datetime DESC NULLS LAST, visit_no DESC) = 1),
@@ -201,9 +200,9 @@ def _(t):
   SELECT r.chw_key, r.county_clean, r.sub_county_clean, a.u2 AS u2_population_context, a.u5 AS u5_population_context
   FROM registry_latest r LEFT JOIN areas a ON r.county_clean = a.county_clean AND r.sub_county_clean = a.sub_county_clean""")
 def _(t):
-    reg = registry_silver(t)
-    areas = M.area_context(M.silver_population(t.population), reg, REG_KEYS)
-    base = latest_rows(reg, ["chw_key"], "registry_snapshot_datetime", REG_KEYS).select("chw_key", "county_clean", "sub_county_clean")
+    newest = newest_workers(t)
+    areas = M.area_context(M.silver_population(t.population), newest)
+    base = newest.select("chw_key", "county_clean", "sub_county_clean")
     return J.left_join(base, areas, ["county_clean", "sub_county_clean"]).drop("wra_population_context")
 
 
@@ -215,9 +214,10 @@ def _(t):
   LEFT JOIN areas a ON lab.county_clean = a.county_clean AND r.sub_county_clean = a.sub_county_clean""")
 def _(t):
     """The whole person-month feature table; the label layer is written first, as later steps read it more than once."""
-    areas = M.area_context(M.silver_population(t.population), registry_silver(t), REG_KEYS)
+    newest = layer(newest_workers(t), fresh_path(t.spark, "workers") + ".parquet")
+    areas = M.area_context(M.silver_population(t.population), newest)
     labels = layer(labelled(t), fresh_path(t.spark, "labels") + ".parquet")
-    ft = M.feature_table(labels, worker_context(t), areas, ["index_month"])
+    ft = M.feature_table(labels, worker_context(t, newest), areas, ["index_month"])
     return ft.select("child_key", "index_month", "chw_key", "index_month_num", "homevisit_count_30d", "sub_county_clean", "u2_population_context", "county_clean")
 
 

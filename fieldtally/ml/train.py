@@ -36,6 +36,8 @@ class TrainSettings:
     validation_share: float = 0.1
     folds: int = 5
     seed: int = 42
+    # Labelled rows that a calibration curve is fitted on at most; Spark ends the fit on the driver.
+    calibration_rows: int = 1_000_000
 
 
 def with_weight(df: DataFrame, label: str) -> DataFrame:
@@ -54,6 +56,7 @@ def boosted_trees(s: TrainSettings, label: str) -> GBTClassifier:
 
 def fit_trees(vectors: DataFrame, label: str, keys, s: TrainSettings) -> GBTClassificationModel:
     """Boosted trees with early stopping on a part of the training rows."""
+    shared_folder(vectors.sparkSession)  # sets the folder in which boosting cuts its lineage
     held = with_weight(vectors, label).withColumn("_held", split_flag(keys, s.validation_share, s.seed + 1))
     return boosted_trees(s, label).setValidationIndicatorCol("_held").fit(held)
 
@@ -72,13 +75,15 @@ def raw_score(df: DataFrame, model: GBTClassificationModel, out: str) -> DataFra
     return model.transform(df).withColumn(out, probability()).drop("rawPrediction", "probability", "prediction")
 
 
-def fit_isotonic(scored: DataFrame, label: str, score: str) -> IsotonicRegressionModel:
-    """Isotonic fit on one weighted row per score of six decimals.
+def fit_isotonic(scored: DataFrame, label: str, score: str, rows: int = TrainSettings.calibration_rows, seed: int = 42) -> IsotonicRegressionModel:
+    """Isotonic fit on exact scores, one weighted row per score.
 
-    Rows with one score only enter by their mean and number, so pooling them changes nothing;
-    the six decimals bound the fitted curve, which Spark finishes on the driver, at a million points.
+    Rows with one score enter by their mean and number, so pooling them changes nothing.
+    Of more than ``rows`` labelled rows a random part of about that size is used.
     """
-    per_score = scored.groupBy(F.round(score, 6).alias("_s")).agg(F.avg(label).alias("_y"), F.count("*").cast("double").alias("_w"))
+    n = scored.count()
+    used = scored if n <= rows else scored.sample(rows / n, seed)
+    per_score = used.groupBy(F.col(score).alias("_s")).agg(F.avg(label).alias("_y"), F.count("*").cast("double").alias("_w"))
     return IsotonicRegression(featuresCol="_s", labelCol="_y", weightCol="_w").fit(per_score)
 
 
@@ -169,7 +174,7 @@ def train(df: DataFrame, label: str, keys, numeric, binary, categorical=(), sett
             for i in range(settings.folds):
                 m = fit_trees(vectors.filter(fold != i), label, keys, settings)
                 out.fold_models.append(m)
-                out.calibrators.append(fit_isotonic(raw_score(vectors.filter(fold == i), m, "_s0"), label, "_s0"))
+                out.calibrators.append(fit_isotonic(raw_score(vectors.filter(fold == i), m, "_s0"), label, "_s0", settings.calibration_rows))
         return out
     finally:
         vectors.unpersist()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .prefix import whole_keys
+
 
 def prior_events(df: DataFrame, key: str, ts: str, tiebreak, follow_up: str, default: str) -> DataFrame:
     """Earlier follow-ups, earlier defaults and days since the previous event.
@@ -14,17 +16,16 @@ def prior_events(df: DataFrame, key: str, ts: str, tiebreak, follow_up: str, def
     before; the pieces' totals and newest times, one row per month, are added on top.
     """
     flags = {"_f": F.coalesce(F.col(follow_up), F.lit(0)).cast("bigint"), "_d": F.coalesce(F.col(default), F.lit(0)).cast("bigint")}
-    base = df.withColumns({"_cell": F.trunc(ts, "month"), **flags})
-    piece = W.partitionBy(key, "_cell").orderBy(F.col(ts).asc_nulls_last(), *[F.col(t).asc() for t in tiebreak])
+    base, keys = whole_keys(df.withColumns({"_cell": F.trunc(ts, "month"), **flags}), [key, "_cell"])
+    piece = W.partitionBy(*keys).orderBy(F.col(ts).asc_nulls_last(), *[F.col(t).asc() for t in tiebreak])
     before_row = piece.rowsBetween(W.unboundedPreceding, -1)
     local = base.select("*", F.lag(ts).over(piece).alias("_prev"),
                         *[F.coalesce(F.sum(c).over(before_row), F.lit(0)).alias(f"_in{c}") for c in flags])
-    earlier = W.partitionBy("_k").orderBy(F.col("_c").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    pieces = base.groupBy(F.col(key).alias("_k"), F.col("_cell").alias("_c")).agg(
-        F.max(ts).alias("_end"), *[F.sum(c).alias(f"_t{c}") for c in flags])
-    pieces = pieces.select("_k", "_c", F.max("_end").over(earlier).alias("_last"),
+    earlier = W.partitionBy(*keys[:2]).orderBy(F.col("_cell").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    pieces = base.groupBy(*keys, "_cell").agg(F.max(ts).alias("_end"), *[F.sum(c).alias(f"_t{c}") for c in flags])
+    pieces = pieces.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.max("_end").over(earlier).alias("_last"),
                            *[F.coalesce(F.sum(f"_t{c}").over(earlier), F.lit(0)).alias(f"_up{c}") for c in flags])
-    joined = local.join(pieces, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cell").eqNullSafe(F.col("_c")))
+    joined = local.join(pieces, F.expr(" AND ".join(f"`{k}` = `_r{k}`" for k in keys)))
     gap = F.floor((F.unix_micros(ts) - F.unix_micros(F.coalesce("_prev", "_last"))) / F.lit(86_400_000_000))
     return joined.select(
         *df.columns, (F.col("_in_f") + F.col("_up_f")).alias("prior_follow_up_flag_count"),

@@ -83,7 +83,8 @@ def silver_supervision(raw: DataFrame) -> DataFrame:
     return add_missing_share(df.withColumns(out))
 
 
-def silver_registry(raw: DataFrame, tiebreak) -> DataFrame:
+def silver_registry(raw: DataFrame, tiebreak=None) -> DataFrame:
+    """Clean registry rows; with a ``tiebreak``, each row's place in its worker's history too."""
     df = require_columns(X.snake_case_columns(raw), ["chw_uuid", "reported"])
     ts = parse_timestamp(F.col("reported"))
     out = {"chw_key": X.clean_text(F.col("chw_uuid")), "registry_snapshot_datetime": ts, "registry_snapshot_month": month_key(ts)}
@@ -94,8 +95,16 @@ def silver_registry(raw: DataFrame, tiebreak) -> DataFrame:
     if county:
         out["county_clean"] = X.known_name(F.col(county))
         out["county_valid_flag"] = X.known_name_flag(F.col(county))
-    ranked = record_rank(df.withColumns(out), "chw_key", "registry_snapshot_datetime", tiebreak, "chw_registry_record_rank")
-    return add_missing_share(ranked.withColumn("is_active_chw", F.lit(1)))
+    rows = df.withColumns(out)
+    if tiebreak:
+        rows = record_rank(rows, "chw_key", "registry_snapshot_datetime", tiebreak, "chw_registry_record_rank")
+    return add_missing_share(rows.withColumn("is_active_chw", F.lit(1)))
+
+
+def newest_registry(registry: DataFrame, tiebreak) -> DataFrame:
+    """One row per worker with its names and places, for all contexts."""
+    newest = latest_rows(registry, ["chw_key"], "registry_snapshot_datetime", tiebreak)
+    return newest.select(*[c for c in ("chw_key", "county_clean", "sub_county_clean", "chw_area_clean", "community_unit_clean") if c in newest.columns])
 
 
 def silver_home_visits(raw: DataFrame) -> DataFrame:
@@ -117,25 +126,26 @@ def silver_population(raw: DataFrame) -> DataFrame:
     return add_missing_share(df.withColumns(out))
 
 
-def month_labels(cohort: DataFrame, visits: DataFrame, tiebreak, schedule=SCHEDULE_DAYS) -> DataFrame:
-    """Cohort with the dose flags of the month's newest visit, due list and labels."""
+def month_labels(cohort: DataFrame, visits: DataFrame, tiebreak, schedule=SCHEDULE_DAYS, carry: dict[str, str] | None = None) -> DataFrame:
+    """Cohort with the dose flags of the month's newest visit, due list and labels.
+
+    ``carry`` names further columns of that visit to take along, and what to call them.
+    """
     newest = latest_rows(visits, ["child_key", "year_month"], "event_datetime", tiebreak)
     doses = [c for c in DAY_DOSES if c in newest.columns]
-    right = newest.select("child_key", F.col("year_month").alias("index_month"), *doses)
+    more = [F.col(c).alias(name) for c, name in (carry or {}).items()]
+    right = newest.select("child_key", F.col("year_month").alias("index_month"), *doses, *more)
     return schedule_labels(left_join(cohort, right, ["child_key", "index_month"]), "age_days", schedule)
 
 
-def worker_context(sup: DataFrame, hv: DataFrame, registry: DataFrame, tiebreak) -> DataFrame:
+def worker_context(sup: DataFrame, hv: DataFrame, newest: DataFrame) -> DataFrame:
     """Supervision and home-visit months side by side, with the newest registry row."""
     both = full_join(A.supervision_months(sup), A.homevisit_months(hv), ["chw_key", "year_month"])
-    newest = latest_rows(registry, ["chw_key"], "registry_snapshot_datetime", tiebreak)
-    keep = [c for c in ("chw_key", "county_clean", "sub_county_clean", "chw_area_clean", "community_unit_clean") if c in newest.columns]
-    return left_join(both, newest.select(*keep), "chw_key").withColumnRenamed("year_month", "index_month")
+    return left_join(both, newest, "chw_key").withColumnRenamed("year_month", "index_month")
 
 
-def area_context(pop: DataFrame, registry: DataFrame, tiebreak) -> DataFrame:
+def area_context(pop: DataFrame, newest: DataFrame) -> DataFrame:
     """Population maxima per county and sub-county of the worker's newest registry row."""
-    newest = latest_rows(registry, ["chw_key"], "registry_snapshot_datetime", tiebreak)
     keep = [c for c in ("chw_key", "county_clean", "sub_county_clean") if c in newest.columns]
     joined = left_join(pop, newest.select(*keep), "chw_key") if "chw_key" in pop.columns else pop
     return A.area_population(joined)
