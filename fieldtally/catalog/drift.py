@@ -96,7 +96,7 @@ def _(t):
     return D.drift_headline(report(t))
 
 
-_CORR = ["price", "quantity", "discount", "even", "constant", "absent"]
+_CORR = ["price", "quantity", "discount", "even", "constant", "absent", "unit_price"]
 
 
 @query("i23_label_correlation", uses="features", sql=" UNION ALL ".join(
@@ -111,11 +111,11 @@ def _(t):
     return S.label_correlation(t.features, "y", _CORR).orderBy(F.abs("r_pb").desc(), "feature")
 
 
-_MAT = ["price", "quantity", "discount", "constant"]
+_MAT = ["price", "quantity", "discount", "constant", "even", "absent", "unit_price"]
 
 
 @query("i24_correlation_matrix", uses="features", sql=" UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, " + ("max(NULL::DOUBLE)" if "constant" in (a, b) else f"round(corr({a}, {b}), 6)") + " AS r FROM features"
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, " + ("max(NULL::DOUBLE)" if {"constant", "absent"} & {a, b} else f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6)") + " AS r FROM features"
     for a in _MAT for b in _MAT))
 def _(t):
     return rounded(S.correlation_matrix(t.features, _MAT))

@@ -159,13 +159,22 @@ def _(t):
     return rounded(M.precision_at_share(t.scored, "y", "p", KEY))
 
 
-@query("i33_deployment_gates", uses="scored", sql=f"""WITH {_curve('p')},
+@query("i33_deployment_gates", uses="scored", sql=f"""WITH c AS (WITH {_curve('p')} SELECT * FROM a),
   b AS (SELECT floor(p * 10) AS b, count(*) AS n, avg(p) AS c, avg(y) AS a FROM scored GROUP BY 1),
-  e AS (SELECT sum(CASE WHEN b < 10 THEN abs(a - c) * n ELSE 0 END) / sum(n) AS ece FROM b)
-  SELECT 'pr_auc' AS metric, round(average_precision, 6) AS value, 0.5::DOUBLE AS limit_value, 'min' AS kind, CASE WHEN average_precision >= 0.5 THEN 1 ELSE 0 END AS passed FROM a
-  UNION ALL SELECT 'roc_auc', round(roc_auc, 6), 0.65, 'min', CASE WHEN roc_auc >= 0.65 THEN 1 ELSE 0 END FROM a
-  UNION ALL SELECT 'expected_calibration_error', round(ece, 6), 0.15, 'max', CASE WHEN ece <= 0.15 THEN 1 ELSE 0 END FROM e""")
-def _(t):
+  e AS (SELECT sum(CASE WHEN b < 10 THEN abs(a - c) * n ELSE 0 END) / sum(n) AS ece FROM b),
+  r AS (SELECT y, row_number() OVER (ORDER BY p DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, count(*) OVER () AS n FROM scored),
+  g AS ({_FAIR} SELECT max(gap) AS gap FROM (SELECT max(roc_auc) - min(roc_auc) AS gap FROM f GROUP BY dimension)),
+  v AS (SELECT 'pr_auc' AS metric, average_precision AS value, 0.5::DOUBLE AS limit_value, 'min' AS kind FROM c
+    UNION ALL SELECT 'roc_auc', roc_auc, 0.65, 'min' FROM c
+    UNION ALL SELECT 'precision_at_20pct', avg(y), 0.4, 'min' FROM r WHERE k <= greatest(1, CAST(floor(n * 0.2) AS BIGINT))
+    UNION ALL SELECT 'expected_calibration_error', ece, 0.15, 'max' FROM e
+    UNION ALL SELECT 'auc_gap', gap, 0.1, 'max' FROM g)
+  SELECT metric, round(value, 6) AS value, limit_value, kind, CASE WHEN kind = 'min' AND value >= limit_value OR kind = 'max' AND value <= limit_value THEN 1 ELSE 0 END AS passed FROM v""")
+def _(t):
+    """All five limits; the gap is the largest over the dimensions of the fairness table."""
     areas = M.curve_areas(t.scored, "y", "p").select(F.col("average_precision").alias("pr_auc"), "roc_auc")
-    row = areas.withColumn("expected_calibration_error", M.expected_calibration_error(t.scored, "y", "p").scalar())
+    top = M.precision_at_share(t.scored, "y", "p", KEY).select("precision_at_share")
+    gap = M.fairness_gap(fairness(t)).agg(F.max("auc_gap"))
+    row = areas.withColumns({
+        "expected_calibration_error": M.expected_calibration_error(t.scored, "y", "p").scalar(), "precision_at_20pct": top.scalar(), "auc_gap": gap.scalar()})
     return rounded(M.deployment_gates(row))

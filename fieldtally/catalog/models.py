@@ -102,7 +102,8 @@ def _(t):
     return model.transform(x).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(hot, ",").alias("hot"))
 
 
-@query("i05_feature_names")
+@query("i05_feature_names", sql="SELECT CAST(i AS INT) AS position, f AS feature FROM (SELECT unnest(range(8)) AS i, unnest(["
+       + ", ".join(f"'{f}'" for f in [*NUMERIC, *BINARY, *CATEGORICAL]) + "]) AS f)")
 def _(t):
     """Names in vector order, from the fitted state."""
     prep = P.Preparation.fit(visit_rows(t), NUMERIC, BINARY, CATEGORICAL)
@@ -159,7 +160,7 @@ def _(t):
     return table.orderBy(F.col("average_precision").desc())
 
 
-@query("i11_save_load")
+@query("i11_save_load", uses="iz_latest", sql="SELECT count(*) AS n, 0.0::DOUBLE AS largest_difference FROM iz_latest")
 def _(t):
     """Scores before saving and after loading, compared row by row."""
     model, folder = fitted(t)
@@ -242,6 +243,63 @@ def _(t):
     return X.dependence(df, model.names, top, KEYS)
 
 
+@query("i06_i09_metric_bounds", uses="iz_latest", sql="""
+  SELECT unnest(['logistic', 'trees', 'calibrated trees']) AS model,
+    (SELECT count(*) FROM iz_latest WHERE CAST('0x' || substr(md5(visit_no || '|42'), 1, 8) AS BIGINT) % 10000 < 2000) AS n, true AS better_than_chance, true AS in_bounds""")
+def _(t):
+    """Three models on the test rows: their number, and metrics within what is possible."""
+    model, _ = fitted(t)
+    train_rows, test_rows = parts(t)
+    ready = model.preparation.transform(test_rows)
+    logistic = T.fit_logistic(model.preparation.transform(train_rows), LABEL)
+    rows = _metric_row(logistic.transform(ready).withColumn("risk_score", T.probability()), "logistic")
+    rows = rows.unionByName(_metric_row(T.raw_score(ready, model.model, "risk_score"), "trees"))
+    rows = rows.unionByName(_metric_row(model.score(test_rows), "calibrated trees"))
+    inside = [F.col(c).between(0.0, 1.0) for c in ("roc_auc", "average_precision", "brier_score")]
+    return rows.select("model", "n", (F.col("roc_auc") > 0.5).alias("better_than_chance"), (inside[0] & inside[1] & inside[2]).alias("in_bounds"))
+
+
+@query("i22_importance_sums", sql="SELECT 8::BIGINT AS n_features, 1.0::DOUBLE AS total, true AS none_negative")
+def _(t):
+    model, _ = fitted(t)
+    table = X.feature_importance(model.model, model.names)
+    return rounded(table.agg(F.count("*").alias("n_features"), F.sum("importance").alias("total"), (F.min("importance") >= 0).alias("none_negative")))
+
+
+@query("i28_scores_hold", uses="iz_latest", sql="""
+  SELECT count(*) AS n, count(DISTINCT visit_no) AS n_keys, count(*) AS n_in_bounds, count(*) AS n_tier_agrees, count(*) AS n_pct_agrees FROM iz_latest""")
+def _(t):
+    """Every visit once, scores in bounds, tier and percentage those of the score."""
+    scored = fitted(t)[0].score(visit_rows(t))
+    tier = F.when(F.col("risk_score") < 0.33, "LOW").when(F.col("risk_score") < 0.6, "MEDIUM").otherwise("HIGH")
+    return scored.agg(
+        F.count("*").alias("n"), F.count_distinct("visit_no").alias("n_keys"), F.count_if(F.col("risk_score").between(0, 1)).alias("n_in_bounds"),
+        F.count_if(F.col("risk_tier") == tier).alias("n_tier_agrees"), F.count_if(F.abs(F.col("risk_pct") - F.col("risk_score") * 100) <= 0.0500001).alias("n_pct_agrees"))
+
+
+@query("i31_explanations_hold", uses="iz_latest", sql="SELECT count(*) AS n, count(*) AS n_with_three, count(*) AS n_with_action FROM iz_latest")
+def _(t):
+    df, model = explained(t)
+    out = X.payload(df, model.names, KEYS, "gbt_v1")
+    return out.agg(F.count("*").alias("n"), F.count_if(F.size("top_drivers") == 3).alias("n_with_three"), F.count("recommended_action").alias("n_with_action"))
+
+
+@query("i32_dependence_holds", uses="iz_latest", sql="SELECT 3 * count(*) AS n, count(DISTINCT visit_no) AS n_keys, 3::BIGINT AS n_features FROM iz_latest")
+def _(t):
+    df, model = explained(t)
+    out = X.dependence(df, model.names, model.names[:3], KEYS)
+    return out.agg(F.count("*").alias("n"), F.count_distinct("visit_no").alias("n_keys"), F.count_distinct("feature").alias("n_features"))
+
+
+@query("i34_importance_positive", sql="SELECT true AS all_positive, true AS at_most_twenty, true AS falling")
+def _(t):
+    df, model = explained(t)
+    top = X.top_positive(X.mean_absolute(df, model.names))
+    values = F.array_agg("mean_shap")
+    return top.agg((F.min("mean_shap") > 0).alias("all_positive"), (F.count("*") <= 20).alias("at_most_twenty"),
+                   (F.reverse(F.array_sort(values)) == F.sort_array(values, asc=False)).alias("falling"))
+
+
 _EFFECTS = ["discount", "tax", "quantity", "price"]
 _EFFECT_SQL = "[l_discount - 0.05, 0.04 - l_tax, l_quantity / 500 - 0.05, l_extendedprice / 1000000 - 0.05]"
 

@@ -35,13 +35,14 @@ def _(t):
                                 F.avg((F.col("p") >= 0.5).cast("double")).alias("pct_high_risk")))
 
 
-@query("d15_mean_comparison", uses="features", sql="""
-  SELECT f AS feature, round(CASE f WHEN 'price' THEN avg(price) FILTER (event_datetime < '1998-01-01') ELSE avg(quantity) FILTER (event_datetime < '1998-01-01') END, 6) AS reference_mean,
-    round(CASE f WHEN 'price' THEN avg(price) FILTER (event_datetime >= '1998-01-01') ELSE avg(quantity) FILTER (event_datetime >= '1998-01-01') END, 6) AS current_mean
-  FROM features, (SELECT unnest(['price', 'quantity']) AS f) GROUP BY f""")
+_MEANS = ("price", "quantity", "discount", "even", "unit_price")
+
+
+@query("d15_mean_comparison", uses="features", sql=" UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(avg({f}) FILTER (event_datetime < '1998-01-01'), 6) AS reference_mean, round(avg({f}) FILTER (event_datetime >= '1998-01-01'), 6) AS current_mean FROM features" for f in _MEANS))
 def _(t):
-    x = t.features.select("price", "quantity", "event_datetime")
-    return rounded(P.mean_comparison(x.filter("event_datetime < '1998-01-01'").drop("event_datetime"), x.filter("event_datetime >= '1998-01-01'")))
+    x = t.features.select(*_MEANS, "event_datetime")
+    return rounded(P.mean_comparison(x.filter("event_datetime < '1998-01-01'").drop("event_datetime"), x.filter("event_datetime >= '1998-01-01'").drop("event_datetime")))
 
 
 FEATURES = ["price", "quantity", "discount", "even", "constant", "absent", "unit_price"]
@@ -80,20 +81,21 @@ def _(t):
     return rounded(P.column_profile(t.iz, PROFILED))
 
 
+_AUDITED = {"price": "double", "absent": "double", "even": "int", "discount": "double", "quantity": "double", "constant": "int", "unit_price": "double"}
+
+
 @query("d18_completeness_audit", uses="features", sql=" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", round(100.0 * avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_pct, count(DISTINCT {c}) AS n_unique, '{k}' AS dtype FROM features"
-    for c, k in (("price", "double"), ("absent", "double"), ("even", "int"), ("discount", "double"))))
+    for c, k in _AUDITED.items()))
 def _(t):
-    return rounded(P.completeness_audit(t.features.select("price", "absent", "even", "discount")))
+    return rounded(P.completeness_audit(t.features.select(*_AUDITED)))
 
 
-@query("d18_completeness_headline", uses="features", sql="""
-  WITH m AS (SELECT avg(CASE WHEN price IS NULL THEN 1 ELSE 0 END) AS a, avg(CASE WHEN absent IS NULL THEN 1 ELSE 0 END) AS b,
-    avg(CASE WHEN even IS NULL THEN 1 ELSE 0 END) AS c, avg(CASE WHEN discount IS NULL THEN 1 ELSE 0 END) AS d FROM features)
-  SELECT CAST((a > 0.8)::INT + (b > 0.8)::INT + (c > 0.8)::INT + (d > 0.8)::INT AS BIGINT) AS over_80_missing,
-    CAST((a = 0)::INT + (b = 0)::INT + (c = 0)::INT + (d = 0)::INT AS BIGINT) AS fully_present, CAST(4 AS BIGINT) AS n_columns FROM m""")
+@query("d18_completeness_headline", uses="features", sql=f"""
+  WITH m AS ({" UNION ALL ".join(f"SELECT avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS x FROM features" for c in _AUDITED)})
+  SELECT count(*) FILTER (x > 0.8) AS over_80_missing, count(*) FILTER (x = 0) AS fully_present, count(*) AS n_columns FROM m""")
 def _(t):
-    return P.completeness_headline(P.completeness_audit(t.features.select("price", "absent", "even", "discount")))
+    return P.completeness_headline(P.completeness_audit(t.features.select(*_AUDITED)))
 
 
 @query("d19_dataset_headline", uses="iz_target", sql="""
@@ -234,9 +236,10 @@ def _(t):
 
 
 @query("d33_tier_counts_zero_fill", uses="scored", sql="""
-  SELECT k AS risk_tier, CASE WHEN k = 'LOW' THEN (SELECT count(*) FROM scored WHERE p < 0.3) ELSE 0 END AS n FROM (SELECT unnest(['HIGH', 'MEDIUM', 'LOW']) AS k)""")
+  SELECT k AS risk_tier, CASE WHEN k = 'LOW' THEN (SELECT count(*) FROM scored) ELSE 0 END AS n FROM (SELECT unnest(['HIGH', 'MEDIUM', 'LOW']) AS k)""")
 def _(t):
-    return R.tier_counts(t.scored.filter("p < 0.3"), "p")
+    """All rows at under a third of their score, so that two tiers are empty."""
+    return R.tier_counts(t.scored.withColumn("low", F.col("p") * 0.3), "low")
 
 
 @query("d34_histogram", uses="scored", sql="""
@@ -264,11 +267,11 @@ def _(t):
 
 
 @query("d36_high_risk_by_county", uses="scored", sql="""
-  SELECT concat('County ', county_code) AS county, count(*) AS high_risk_count FROM scored WHERE p >= 0.6 GROUP BY county_code ORDER BY 2 DESC, county_code LIMIT 5""")
+  SELECT concat('County ', county_code) AS county, count(*) AS high_risk_count FROM scored WHERE p >= 0.6 GROUP BY county_code ORDER BY 2 DESC, county_code LIMIT 10""")
 def _(t):
     """Most high-risk rows first; the report shows the leading counties."""
     g = t.scored.filter(score_tier(F.col("p")) == "HIGH").groupBy("county_code").agg(F.count("*").alias("high_risk_count"))
-    top = g.orderBy(F.col("high_risk_count").desc(), "county_code").limit(5)
+    top = g.orderBy(F.col("high_risk_count").desc(), "county_code").limit(10)
     return top.select(F.concat(F.lit("County "), F.col("county_code")).alias("county"), "high_risk_count")
 
 
@@ -278,10 +281,10 @@ def _(t):
     return R.batch_counts(t.scored, "p", ["county_code"])
 
 
-@query("d39_prevalence_and_missing", uses="features", sql="""
-  SELECT round(avg(y), 6) AS prevalence, round(avg(((price IS NULL)::INT + (discount IS NULL)::INT + (quantity IS NULL)::INT) / 3.0), 6) AS missing_share FROM features""")
+@query("d39_prevalence_and_missing", uses="features", sql=f"""
+  SELECT round(avg(y), 6) AS prevalence, round(avg(({" + ".join(f"({c} IS NULL)::INT" for c in FEATURES)}) / {len(FEATURES)}.0), 6) AS missing_share FROM features""")
 def _(t):
-    return rounded(t.features.agg(F.avg("y").alias("prevalence"), F.avg(missing_share(F.col("price"), F.col("discount"), F.col("quantity"))).alias("missing_share")))
+    return rounded(t.features.agg(F.avg("y").alias("prevalence"), F.avg(missing_share(*map(F.col, FEATURES))).alias("missing_share")))
 
 
 @query("d40_group_availability", uses="features", sql="""
