@@ -161,13 +161,17 @@ def _parts(members: str, longest: str):
 def _family_work(buckets: DataFrame, known: DataFrame, weight: DataFrame) -> DataFrame | None:
     """Block pairs over families that still span components. ``known``: (cid, component)."""
     placed = buckets.join(known, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("cid").alias("lead")).where("lo <> hi")
-    edges = written(buckets.join(open_buckets.select("bucket", "lead"), "bucket").select(F.col("cid").alias("u"), F.col("lead").alias("v")).distinct(), "near-open")
+    placed = written(placed.select("bucket", "cid", "component").distinct(), "near-placed")
+    # A family is a set of components that buckets join: edges are between components only.
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("classes"))
+    open_buckets = parts.groupBy("bucket").agg(F.min("component").alias("lead"), F.max("component").alias("hi")).where("lead <> hi").select("bucket", "lead")
+    edges = written(parts.join(open_buckets, "bucket").where("component <> lead").select(F.col("component").alias("u"), F.col("lead").alias("v")).distinct(), "near-open")
     if edges.isEmpty():
         return None
-    family = components(edges).select(F.col("node").alias("cid"), F.col("component").alias("family"))
-    members = family.join(known, "cid", "left").withColumn("component", F.coalesce("component", "cid")).join(weight, "cid")
-    members = written(members.select("family", "cid", "component", "n"), "near-families")
+    family = components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    # Of a component all classes that share a bucket with another component's.
+    met = placed.join(open_buckets.select("bucket"), "bucket").select("cid", "component").distinct()
+    members = written(met.join(family, "component").join(weight, "cid").select("family", "cid", "component", "n"), "near-families")
     # A component that fills a block has blocks of its own; the others share blocks.
     sized = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("longest"))
     sized = sized.withColumn("own", F.when(F.col("members") >= BLOCK // 2, F.col("component")).otherwise(-1))
