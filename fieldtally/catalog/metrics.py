@@ -20,6 +20,15 @@ def _(t):
     return rounded(S.class_shares(x, "part", "y"))
 
 
+@query("i01_stratified_split", uses="scored", sql=f"""
+  WITH h AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', {", ".join(KEY)}, '42')), 1, 15) AS BIGINT) AS h FROM scored),
+    r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h) AS k, count(*) OVER (PARTITION BY y) AS n FROM h)
+  SELECT CASE WHEN k <= round(n * 0.2) THEN 'test' ELSE 'train' END AS part, count(*) AS n, sum(y)::BIGINT AS positives, round(avg(y), 6) AS positive_share FROM r GROUP BY 1""")
+def _(t):
+    """The same share of each class in both parts, to the row."""
+    return rounded(S.class_shares(S.stratified_split(t.scored, KEY, "y", 0.2, 42), "part", "y"))
+
+
 @query("i02_temporal_split", uses="slv_iz", sql="""
   WITH m AS (SELECT year_month, row_number() OVER (ORDER BY year_month DESC) AS r FROM (SELECT DISTINCT year_month FROM slv_iz WHERE year_month IS NOT NULL))
   SELECT s.visit_no, s.year_month, CASE WHEN r = 1 THEN 'test' WHEN r = 2 THEN 'valid' ELSE 'train' END AS split FROM slv_iz s JOIN m USING (year_month)""")

@@ -85,7 +85,9 @@ def quantiles_from_counts(counts: DataFrame, value: str, shares, groups=(), out:
     groups = list(groups)
     keys = [*groups, "_cell"]
     match = F.expr(" AND ".join(f"`{k}` <=> `_r_{k}`" for k in keys))
-    counts = counts.withColumn("_cell", order_cell(F.col(value)))
+    # Cells of the distance from the least value: a narrow range far from 0 is split as well.
+    low = counts.agg(F.min(F.col(value).cast("double"))).scalar()
+    counts = counts.withColumn("_cell", order_cell(F.col(value).cast("double") - low))
     run = W.partitionBy(*groups).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     cells = counts.groupBy(*keys).agg(F.sum("n").alias("_cn"))
     cells = cells.select("*", F.sum("_cn").over(run).alias("_upto"), F.sum("_cn").over(W.partitionBy(*groups)).alias("_total"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .prefix import running_totals
+
 
 def hash_bucket(keys, seed: int, buckets: int = 10000) -> Column:
     """A repeatable bucket from the row's key; no shuffle, the same on every run."""
@@ -18,6 +20,23 @@ def split_flag(keys, share: float, seed: int) -> Column:
     return hash_bucket(keys, seed) < int(round(share * 10000))
 
 
+def stratified_split(df: DataFrame, keys, label: str, share: float, seed: int, out: str = "part") -> DataFrame:
+    """``test`` for exactly round(share * n) rows of each class, ``train`` for the rest.
+
+    Each class is cut at its own quantile of the key's hash, found from running counts of
+    the hashes. Rows with equal keys stay together, so only such repeats move the cut.
+    """
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    hashed = df.withColumn("_h", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"))
+    counts = hashed.groupBy(label, "_h").agg(F.count("*").alias("_n"))
+    run = running_totals(counts.withColumn("_cell", F.shiftright("_h", 48)), ["_n"], [F.col("_h").asc()], groups=[label])
+    sizes = counts.groupBy(label).agg(F.sum("_n").alias("_size")).withColumnRenamed(label, "_class")
+    inside = run.join(sizes, F.col(label).eqNullSafe(F.col("_class"))).filter(F.col("cum__n") <= F.round(F.col("_size") * F.lit(share)))
+    cuts = inside.groupBy("_class").agg(F.max("_h").alias("_cut"))
+    part = F.when(F.col("_h") <= F.col("_cut"), "test").otherwise("train")
+    return hashed.join(cuts, F.col(label).eqNullSafe(F.col("_class")), "left").select(*df.columns, part.alias(out))
+
+
 def class_shares(df: DataFrame, part: str, label: str) -> DataFrame:
     return df.groupBy(part).agg(F.count("*").alias("n"), F.sum(label).alias("positives"), F.avg(label).alias("positive_share"))
 

@@ -13,6 +13,7 @@ from fieldtally.operators import joins as J
 from fieldtally.operators import metrics as M
 from fieldtally.operators import profiles as P
 from fieldtally.operators import splits as S
+from fieldtally.ml.train import fit_isotonic
 from fieldtally.operators.codes import encode_categories, mask_names
 from fieldtally.operators.history import prior_events
 from fieldtally.operators.latest import latest_rows, record_rank, rows_at_positions
@@ -224,3 +225,52 @@ def test_attribution_equals_brute_force_shapley():
                     phi += w * (worth(x[r], set(s) | {i}) - worth(x[r], set(s)))
             assert abs(phi - got[r, i]) < 1e-12
         assert abs(got[r].sum() + expected_margin(leaves) - worth(x[r], {0, 1, 2, 3})) < 1e-12
+
+
+def test_masking_many_names_gives_as_many_labels(spark):
+    df = spark.range(900).selectExpr("concat('unit ', lpad(cast(id % 300 as string), 3, '0')) AS name", "id")
+    labels = [r[0] for r in mask_names(df, "name").select("name").distinct().collect()]
+    assert len(labels) == 300 and {"County A", "County Z", "County AA", "County AZ", "County BA"} <= set(labels)
+
+
+def test_calibration_keeps_scores_apart(spark):
+    rows = [(0.5 + i * 1e-8, float(i >= 5)) for i in range(10)]
+    model = fit_isotonic(spark.createDataFrame(rows, "s double, y double"), "y", "s")
+    assert model.boundaries.toArray().tolist() == [rows[0][0], rows[4][0], rows[5][0], rows[9][0]]
+    assert len(fit_isotonic(spark.createDataFrame(rows * 50, "s double, y double"), "y", "s", rows=100).boundaries) > 0
+
+
+def test_running_totals_shuffle_rows_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).selectExpr("if(id % 5 = 0, null, id % 3) AS k", "timestamp_seconds(id * 5000) AS ts", "id", "repeat('x', 10) AS payload")
+        plan = record_rank(df, "k", "ts", ["id"], "rank")._jdf.queryExecution().executedPlan().toString()
+        # The raw rows once, the cells (counted before they are shuffled) by cell and by group.
+        exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert len([x for x in exchanges if "_n1" in x and "_slot" not in x]) <= 2 and len(exchanges) <= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_record_rank_without_times(spark):
+    df = spark.createDataFrame([(None, None, i) for i in range(500)] + [("a", None, i) for i in range(500)], "k string, ts timestamp, id int")
+    got = {(r["k"], r["id"]): r["rank"] for r in record_rank(df, "k", "ts", ["id"], "rank").collect()}
+    assert all(got[k, i] == i + 1 for k in (None, "a") for i in range(500))
+
+
+def test_rows_at_positions_with_one_score(spark):
+    df = spark.range(1001).selectExpr("0.5D AS s", "1000 - id AS id")
+    got = {r["example"]: r["id"] for r in rows_at_positions(df, "s", ["id"], {"low": (0.0, False), "mid": (0.5, False), "high": (0.001, True)}).collect()}
+    assert got == {"low": 0, "mid": 500, "high": 999}
+
+
+def test_quantiles_of_a_narrow_range_far_from_zero(spark):
+    values = [1_000_000 + random.Random(3).randint(-100, 100) + i % 7 for i in range(500)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    assert exact_quantiles(df, "v", [0.1, 0.5, 0.9]).first()[0] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.9])))
+
+
+def test_stratified_split_is_exact(spark):
+    df = spark.range(1003).selectExpr("id", "if(id % 10 = 0, 1, 0) AS y")
+    n = {(r["part"], r["y"]): r["n"] for r in S.stratified_split(df, ["id"], "y", 0.2, 42).groupBy("part", "y").agg(F.count("*").alias("n")).collect()}
+    assert n["test", 1] == 20 and n["test", 0] == 180
