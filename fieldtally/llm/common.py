@@ -14,9 +14,10 @@ from ..session import fresh_path, tune
 # Lower-casing of A-Z only is what bytes.lower() does.
 
 LIMITS = {
-    # Whole texts go to Python in small batches, so that a run of very long ones stays in memory.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    # Whole texts go to Python in batches of bounded bytes, so that a run of very long ones
+    # stays in memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 

@@ -36,6 +36,7 @@ PER_BUCKET = 3_000_000  # training tokens for each bucket
 
 PACKED = "bucket int, kind int, chunk long, pairs array<int>, words array<long>, n array<int>"
 TABLE, WORDS, PAIRS, RARES, ROWS = range(5)
+OWN = ("doc_id", "held_out", "known", "base")  # what a chunk's own row holds of its texts
 
 
 def discounts(times: dict[int, int]) -> np.ndarray:
@@ -303,61 +304,82 @@ def score(docs: DataFrame, katz: Katz, words: DataFrame, bigrams: DataFrame, buc
             yield pa.RecordBatch.from_arrays([*one.columns, *extra], [*one.schema.names, "doc_id", "held_out", "known", "base"])
 
     def rare_words(batches):
-        known = set(model.value.unigrams.hashes.view(np.int64).tolist())
+        unigrams = model.value.unigrams
         for batch in batches:
             w, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rest = ~np.isin(w, list(known)) if known else np.ones(len(w), bool)
-            rows = [(b, WORDS, 0, None, x, n.astype(np.int32)) for b, x, n in _by_bucket(w[rest], c[rest], buckets)]
-            yield _packed(rows)
+            rest = unigrams.code(w.view(np.uint64)) == RARE
+            yield _packed([(b, WORDS, 0, None, x, n.astype(np.int32)) for b, x, n in _by_bucket(w[rest], c[rest], buckets)])
 
     none = [F.lit(None).cast(f"array<{k}>").alias(c) for c, k in (("doc_id", kind), ("held_out", "boolean"), ("known", "long"), ("base", "double"))]
     tables = bigrams.union(words.mapInArrow(rare_words, PACKED)).select("*", *none)
     everything = tables.union(docs.select("doc_id", "held_out", "text").mapInArrow(spread, schema))
     dealt = everything.repartition("bucket").sortWithinPartitions("bucket", "kind")
 
-    def add_up(batches):
+    def look_up(batches):
+        """Per packed row of tokens: the rows of its chunk that they are of, and sums."""
         katz = model.value
         rare_p = math.log10(max(katz.unigrams.p_codes()[RARE], 1e-300))
-        now, pairs_here, words_here, names = None, None, [], ["key", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
-        plain = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        now, pairs_here, words_here = None, None, []
         for batch in batches:
-            plain[1] = batch.schema.field("doc_id").type.value_type
+            out = []
             for i, bucket, what, chunk, pairs, words, n in _rows(batch):
                 if bucket != now:
                     now, pairs_here, words_here = bucket, None, []
                 if what == TABLE:
                     pairs_here = (_unsigned(pairs), n.astype(np.int64))
-                    continue
-                if what == WORDS:
+                elif what == WORDS:
                     words_here.append((words, n.astype(np.int64)))
-                    continue
-                if what == ROWS:
-                    of = {c: batch.column(batch.schema.names.index(c))[i].values for c in ("doc_id", "held_out", "known", "base")}
-                    keys = (chunk << 20) + np.arange(len(n))
-                    yield _sums(names, plain, keys, of["doc_id"], of["held_out"], n.astype(np.int64), of["known"].to_numpy(), of["base"].to_numpy(), np.zeros(len(n)))
-                    continue
-                at, back = np.unique(n, return_inverse=True)
-                if what == PAIRS:
+                elif what == ROWS:
+                    out.append((chunk, n, None, None, None, i))
+                elif what == PAIRS:
+                    at, back = np.unique(n, return_inverse=True)
                     asked = _unsigned(pairs)
-                    points = katz.score(asked, _looked_up(pairs_here, asked))
-                    known, base = np.zeros(len(at), np.int64), np.zeros(len(at))
+                    out.append((chunk, at, np.bincount(back, katz.score(asked, _looked_up(pairs_here, asked))), None, None, None))
                 else:
                     if words_here and not isinstance(words_here, tuple):
                         w, c = (np.concatenate(x) for x in zip(*words_here))
                         order = np.argsort(w)
                         words_here = (w[order], c[order])
+                    at, back = np.unique(n, return_inverse=True)
                     counts = _looked_up(words_here or None, words)
                     points = np.log10(np.maximum(katz.unigrams.p(counts), 1e-300)) - rare_p
-                    known = np.bincount(back, counts > 0, len(at)).astype(np.int64)
-                    base = np.bincount(back, katz.unigrams.base(counts), len(at))
-                total = np.bincount(back, points, len(at))
-                keys = (chunk << 20) + at.astype(np.int64)
-                yield _sums(names, plain, keys, None, None, np.zeros(len(at), np.int64), known, base, total)
+                    out.append((chunk, at, *(np.bincount(back, x) for x in (points, katz.unigrams.base(counts), (counts > 0).astype(float))), None))
+            kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.float64())] * 3]
+            columns = [pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)]
+            take = pa.array([r[5] for r in out], pa.int64())
+            own = [batch.column(batch.schema.names.index(c)).take(take) for c in OWN]
+            yield pa.RecordBatch.from_arrays([*columns, *own], ["chunk", "at", "score", "more_base", "more_known", *OWN])
 
-    parts = dealt.mapInArrow(add_up, f"key long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double")
-    return parts.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
-        F.lit(katz.unigrams.total).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("key")
+    def add_up(batches):
+        """A row for each text of a chunk, from the chunk's sums."""
+        sums = None
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+        batch_of = lambda x: pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in x], names)
+        for batch in batches:
+            columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            array = lambda c, i: columns[c][i].values.to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                if columns["held_out"][i].is_valid:  # the chunk's own row comes first
+                    if sums is not None:
+                        yield batch_of(sums)
+                    ids, held = (columns[c][i].values for c in ("doc_id", "held_out"))
+                    known, base = array("known", i).astype(np.int64), array("base", i).copy()
+                    points = np.zeros(len(ids))
+                    sums = [ids, held, pa.array(array("at", i).astype(np.int64)), known, base, points]
+                    continue
+                at = array("at", i)
+                points[at] += array("score", i)
+                if columns["more_base"][i].is_valid:
+                    base[at] += array("more_base", i)
+                    known[at] += array("more_known", i).astype(np.int64)
+        if sums is not None:
+            yield batch_of(sums)
+
+    parts = f"chunk long, at array<int>, score array<double>, more_base array<double>, more_known array<double>, doc_id array<{kind}>, held_out array<boolean>, known array<long>, base array<double>"
+    looked_up = dealt.mapInArrow(look_up, parts)
+    by_chunk = looked_up.repartition("chunk").sortWithinPartitions("chunk", F.col("held_out").isNull())
+    out = by_chunk.mapInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(katz.unigrams.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _last(values: pa.Array, before: int) -> pa.ListArray:
@@ -372,11 +394,6 @@ def _looked_up(held: tuple[np.ndarray, np.ndarray] | None, asked: np.ndarray) ->
     return np.where(held[0][at] == asked, held[1][at], 0)
 
 
-def _sums(names, kinds, keys, ids, held, n, known, base, points) -> pa.RecordBatch:
-    columns = [keys, ids if ids is not None else pa.nulls(len(keys), kinds[1]), held if held is not None else pa.nulls(len(keys), kinds[2]), n, known, base, points]
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-
 def score_held_out(docs: DataFrame, parts: int = 7, out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. Rows whose crc32(id as text) mod ``parts`` is ``out`` are not learnt from.
