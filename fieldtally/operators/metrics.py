@@ -168,21 +168,21 @@ def top_k_threshold(df: DataFrame, score: str, share: float = 0.2) -> DataFrame:
 def precision_at_share(df: DataFrame, label: str, score: str, keys, share: float = 0.2) -> DataFrame:
     """Share of positives among the top rows; ties at the cut go to the smaller keys.
 
-    Only the rows that tie at the cut are put in order, in pieces by ranges of the first (numeric) key.
+    Counts per score give the cut and all that lies above it; a second read takes the rows
+    that tie at the cut, which are put in order in pieces by ranges of the first (numeric) key.
     """
-    cut = top_k_threshold(df, score, share).scalar()
-    n = df.filter(F.col(score).isNotNull()).agg(F.count("*")).scalar()
-    known = df.filter(F.col(score).isNotNull()).select(*keys, F.col(label).alias("_y"), F.col(score).alias("_s"), cut.alias("_cut"))
-    above = known.filter("_s > _cut").agg(F.count("*").alias("a"), F.coalesce(F.sum("_y"), F.lit(0)).alias("ay"))
-    tied = known.filter("_s = _cut").withColumn("_one", F.lit(1).cast("bigint")).withColumn("_cell", order_cell(F.col(keys[0])))
-    run = running_totals(tied, ["_one"], [F.col(k).asc() for k in keys])
-    k = F.greatest(F.lit(1), F.floor(n * F.lit(share)))
-    room = (k - above.select("a").scalar()).alias("_room")
-    taken = run.select("_y", "cum__one", room).filter("cum__one <= _room").agg(
-        F.count("*").alias("t"), F.coalesce(F.sum("_y"), F.lit(0)).alias("ty"))
-    hits = F.col("ty") + above.select("ay").scalar()
-    rows = F.col("t") + above.select("a").scalar()
-    return taken.select(rows.alias("n_top"), (hits / rows).alias("precision_at_share"))
+    known = df.filter(F.col(score).isNotNull()).select(*keys, F.coalesce(F.col(label), F.lit(0)).alias("_y"), F.col(score).alias("_s"))
+    counts = known.groupBy("_s").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
+    run = running_totals(counts.withColumn("_cell", order_cell(F.col("_s"))), ["_n", "_p"], [F.col("_s").desc()], cell_order=F.col("_cell").desc())
+    k = F.greatest(F.lit(1), F.floor(counts.agg(F.sum("_n")).scalar() * F.lit(share)))
+    cut = run.withColumn("_k", k).filter("cum__n >= _k AND cum__n - _n < _k").select(
+        F.col("_s").alias("_cut"), (F.col("cum__n") - F.col("_n")).alias("_above"), (F.col("cum__p") - F.col("_p")).alias("_hits"),
+        (F.col("_k") - F.col("cum__n") + F.col("_n")).alias("_room"))
+    tied = known.join(cut, F.col("_s") == F.col("_cut")).withColumn("_one", F.lit(1).cast("bigint")).withColumn("_cell", order_cell(F.col(keys[0])))
+    taken = running_totals(tied, ["_one"], [F.col(c).asc() for c in keys]).filter("cum__one <= _room").agg(
+        F.count("*").alias("t"), F.coalesce(F.sum("_y"), F.lit(0)).alias("ty"), F.coalesce(F.max("_above"), F.lit(0)).alias("a"), F.coalesce(F.max("_hits"), F.lit(0)).alias("ay"))
+    rows = F.col("t") + F.col("a")
+    return taken.select(rows.alias("n_top"), F.try_divide(F.col("ty") + F.col("ay"), rows).alias("precision_at_share"))
 
 
 def group_fairness(df: DataFrame, label: str, score: str, dimensions: dict[str, str], min_rows: int = 3) -> DataFrame:
