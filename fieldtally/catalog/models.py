@@ -193,10 +193,17 @@ def _(t):
     return risk_list(kept, 0.0, tiebreak=KEYS).select("visit_no", "predicted_risk", "risk_tier")
 
 
-def explained(t, rows=None):
+_EXPLAINED: dict = {}
+
+
+def explained(t):
+    """Every visit scored and attributed, written once per session and table folder."""
     model, folder = fitted(t)
-    scored = model.score(visit_rows(t) if rows is None else rows).select(*KEYS, "risk_score", "risk_tier", "features")
-    return X.attributions(scored, X.read_leaves(t.spark, f"{folder}/trees")), model
+    if folder not in _EXPLAINED:
+        scored = model.score(visit_rows(t)).select(*KEYS, "risk_score", "risk_tier", "features")
+        _EXPLAINED[folder] = fresh_path(t.spark, "explained") + ".parquet"
+        layer(X.attributions(scored, X.read_leaves(t.spark, f"{folder}/trees")), _EXPLAINED[folder])
+    return read_table(t.spark, _EXPLAINED[folder]), model
 
 
 @query("i29_attributions_add_up", uses="iz_latest", sql="SELECT count(*) AS n, count(*) AS n_adding_up FROM iz_latest")

@@ -64,36 +64,58 @@ def expected_margin(leaves: list[Leaf]) -> float:
     return float(sum(leaf.value * np.prod(leaf.share) for leaf in leaves))
 
 
-def attribute(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
+ROWS, LEAVES = 64, 4096  # worked on at a time, which bounds memory
+
+
+def leaves_by_length(leaves: list[Leaf]) -> list[tuple[np.ndarray, ...]]:
+    """Leaves with as many features each as arrays: value (n), features, low, high, share (n x m)."""
+    groups: dict[int, list[Leaf]] = {}
+    for leaf in leaves:
+        groups.setdefault(len(leaf.features), []).append(leaf)
+    return [(np.array([x.value for x in g]), *(np.stack([getattr(x, k) for x in g]) for k in ("features", "low", "high", "share")))
+            for m, g in sorted(groups.items()) if m]
+
+
+def attribute(x: np.ndarray, leaves: list[Leaf] | list[tuple[np.ndarray, ...]]) -> np.ndarray:
     """Shapley values of the path-dependent game, row by feature.
 
     For a leaf with m features, knowing a set S of them is worth value × Π_S inside × Π_rest share.
-    The sum over all sets of one size is a coefficient of Π (share + inside·t).
+    The sum over all sets of one size is a coefficient of Π (share + inside·t), formed for
+    all leaves of one length at once.
     """
+    groups = leaves_by_length(leaves) if leaves and isinstance(leaves[0], Leaf) else leaves
     out = np.zeros_like(x, dtype=float)
-    for leaf in leaves:
-        m = len(leaf.features)
-        if m == 0:
-            continue
-        cols = x[:, leaf.features]
-        inside = ((cols > leaf.low) & (cols <= leaf.high)).astype(float)
-        size_weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-        for i in range(m):
-            poly = np.zeros((len(x), m))
-            poly[:, 0] = 1.0
-            for j in range(m):
-                if j == i:
-                    continue
-                moved = poly * leaf.share[j]
-                moved[:, 1:] += poly[:, :-1] * inside[:, [j]]
+    for a in range(0, len(x), ROWS):
+        for group in groups:
+            for b in range(0, len(group[0]), LEAVES):
+                out[a:a + ROWS] += _block(x[a:a + ROWS], *(g[b:b + LEAVES] for g in group))
+    return out
+
+
+def _block(x: np.ndarray, value: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray, share: np.ndarray) -> np.ndarray:
+    m = features.shape[1]
+    cols = x[:, features]  # rows x leaves x m
+    inside = ((cols > low) & (cols <= high)).astype(float)
+    size_weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+    out = np.zeros_like(x, dtype=float)
+    for i in range(m):
+        poly = np.zeros((*inside.shape[:2], m))
+        poly[..., 0] = 1.0
+        for j in range(m):
+            if j != i:
+                moved = poly * share[:, j, None]
+                moved[..., 1:] += poly[..., :-1] * inside[..., j, None]
                 poly = moved
-            out[:, leaf.features[i]] += leaf.value * (inside[:, i] - leaf.share[i]) * (poly @ size_weight)
+        effect = value * (inside[..., i] - share[:, i]) * (poly @ size_weight)
+        to = np.zeros((len(value), x.shape[1]))
+        to[np.arange(len(value)), features[:, i]] = 1.0
+        out += effect @ to
     return out
 
 
 def attributions(df: DataFrame, leaves: list[Leaf], features: str = "features") -> DataFrame:
     """Add ``feature_values``, ``shap_values`` and ``base_value`` to every row with a feature vector."""
-    sent = df.sparkSession.sparkContext.broadcast(leaves)
+    sent = df.sparkSession.sparkContext.broadcast(leaves_by_length(leaves))
     base = expected_margin(leaves)
     plain = df.withColumn("feature_values", vector_to_array(F.col(features))).drop(features)
     schema = T.StructType(plain.schema.fields + [T.StructField("shap_values", T.ArrayType(T.DoubleType()))])
