@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import AGE_BANDS_MONTHS, CORE_DOSES
+from ..constants import AGE_BANDS_MONTHS, CORE_DOSES, MALARIA_DOSES
 from ..functions.numbers import bands, missing_share
 from ..functions.risk import score_tier
 from ..operators import aggregates as A
@@ -73,7 +73,7 @@ def _profile_sql(table, cols):
     return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_share, count(DISTINCT {c}) AS n_unique FROM {table}" for c in cols)
 
 
-PROFILED = ["county", "month", "patient_sex", "has_malaria_6_vaccine", "accuracy"]
+PROFILED = ["county", "month", "patient_sex", "accuracy", "patient_id", "contact_parent_id", "visit_no", "reported", *CORE_DOSES, *(c for c in MALARIA_DOSES if c not in CORE_DOSES)]
 
 
 @query("d17_missingness_profile", uses="iz", sql=_profile_sql("iz", PROFILED))
@@ -106,13 +106,13 @@ def _(t):
     return rounded(P.headline(target_rows(t), "patient_id", "contact_parent_id", "county", "month_clean", "is_defaulter"))
 
 
-_SOME = CORE_DOSES[:3] + ("has_malaria_6_vaccine", "has_malaria_24_vaccine")
+_DOSES = CORE_DOSES + tuple(c for c in MALARIA_DOSES if c not in CORE_DOSES)
 
 
 @query("d20_flag_coverage", uses="iz", sql=" UNION ALL ".join(
-    f"SELECT '{c}' AS vaccine, sum({c})::BIGINT AS received_n, round(100.0 * avg({c}), 6) AS pct_received, round(100.0 * avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS pct_null FROM iz" for c in _SOME))
+    f"SELECT '{c}' AS vaccine, sum({c})::BIGINT AS received_n, round(100.0 * avg({c}), 6) AS pct_received, round(100.0 * avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS pct_null FROM iz" for c in _DOSES))
 def _(t):
-    return rounded(P.flag_coverage(t.iz, _SOME))
+    return rounded(P.flag_coverage(t.iz, _DOSES))
 
 
 @query("d21_value_counts_null", uses="iz", sql="SELECT lower(patient_sex) AS value, count(*) AS n FROM iz GROUP BY 1")

@@ -28,7 +28,7 @@ def _place(value, edges):
 def _bin_counts(long: DataFrame, edges: DataFrame, rows) -> DataFrame:
     """Rows and value total per (feature, bin). ``edges`` has one short row per feature: its size is the table's width."""
     e = edges.select(F.col("feature").alias("_f"), "bins")
-    return long.join(F.broadcast(e), F.col("feature") == F.col("_f")).groupBy(
+    return long.join(e, F.col("feature") == F.col("_f")).groupBy(
         "feature", _place(F.col("value"), F.col("bins")).alias("bin")).agg(
         F.sum(rows).alias("n"), F.sum(F.col("value") * rows).alias("v"))
 
@@ -73,7 +73,7 @@ def detect(new: DataFrame, reference: DataFrame, features, alert_at: float = PSI
     ``reference`` is a fitted, saved table with one row per feature.
     """
     per = _per_feature(_bin_counts(long_form(new, features), reference, F.lit(1))).filter(F.col("_rows") >= min_rows)
-    both = F.broadcast(reference).withColumnRenamed("feature", "_f").join(per, F.col("feature") == F.col("_f"))
+    both = reference.withColumnRenamed("feature", "_f").join(per, F.col("feature") == F.col("_f"))
     total = lambda c: F.greatest(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(1))
     floored = lambda c, t: F.transform(c, lambda x: F.greatest(x / t, F.lit(FLOOR)))
     both = both.withColumn("_new", _in_bins(F.col("_c"), F.size("bins") - 1))
