@@ -47,14 +47,21 @@ def only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Remembered(dict):
-    """key -> compute(key), kept per worker. Emptied when ``limit`` keys are in; long keys
-    are not kept. So its memory is bounded, whatever the texts hold."""
+    """key -> compute(key), kept per worker. Emptied when ``limit`` keys are in, and when
+    another one fills; long keys are not kept. So its memory is bounded, whatever the texts
+    hold and however many operators a worker has served."""
 
-    def __init__(self, compute: Callable, limit: int = 500_000, longest: int = 48):
+    filling: Remembered | None = None
+
+    def __init__(self, compute: Callable, limit: int = 300_000, longest: int = 48):
         self.compute, self.limit, self.longest = compute, limit, longest
 
     def __missing__(self, key):
         value = self.compute(key)
+        if Remembered.filling is not self:
+            if Remembered.filling is not None:
+                Remembered.filling.clear()
+            Remembered.filling = self
         if len(key) <= self.longest:
             if len(self) >= self.limit:
                 self.clear()

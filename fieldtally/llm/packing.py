@@ -38,10 +38,9 @@ def encoder(json_path: str, ranks_path: str | None):
     byte-level pattern starts at the last space before a word, so the cut is exact where a
     space is followed by a word. Other texts are encoded whole.
     """
-    tok = tokenizer(json_path)
 
     def library(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(tokenizer(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     fast = None
     if ranks_path:

@@ -12,7 +12,7 @@ from .common import Remembered
 
 @functools.lru_cache(maxsize=1)
 def word_hashes() -> Remembered:
-    return Remembered(xxhash.xxh3_64_intdigest)
+    return Remembered(xxhash.xxh3_64_intdigest, 150_000)  # a miss costs little
 
 
 def hashed_words(words: list[bytes]) -> np.ndarray:
