@@ -4,11 +4,10 @@ Counts are Good-Turing discounted; what discounting frees goes to the shorter hi
 with backoff weights that make every history's probabilities sum to one. The last step is
 the unigram, whose freed mass is the unknown word's.
 
-Words beyond the ``VOCABULARY`` most frequent are one class in bigrams, and a member's
-share of the class comes from its own count; all words are counted. So histories and the
-backoff table are bounded, while the bigram table, partitioned by a hash of the pair,
-grows with the corpus. Pairs travel as packed arrays, a row for each task's part of a
-bucket; a text's tokens meet the table in its buckets and only sums come back.
+Scores come from ``bigrams``, where every word and every pair is counted as itself. Here
+are the counts of words and the discounts that it uses, and a smaller class model (``train``),
+which no query uses: words beyond the ``VOCABULARY`` most frequent are one class in its
+bigrams, and a member's share of the class comes from its own count.
 """
 
 from __future__ import annotations
@@ -20,23 +19,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ready, table, texts, written
 from .shingles import hashed_words, mixed
 
-VOCABULARY = 65_533  # words with bigrams of their own
-RARE, BEGIN = 65_533, 65_534  # codes of the class of all other words, and of a text's start
+VOCABULARY = 65_533  # words with codes
+RARE, BEGIN = 65_533, 65_534  # codes of all other words, and of a text's start
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
 DISCOUNTED = 5  # counts up to this are discounted
 CHUNK = 1_000_000  # tokens that a task gathers before it packs them
 PER_BUCKET = 3_000_000  # training tokens for each bucket
 
 PACKED = "bucket int, kind int, chunk long, pairs array<int>, words array<long>, n array<int>"
-TABLE, WORDS, PAIRS, RARES, ROWS = range(5)
-OWN = ("doc_id", "held_out", "known", "base")  # what a chunk's own row holds of its texts
+TABLE = 0
 
 
 def discounts(times: dict[int, int]) -> np.ndarray:
@@ -100,18 +97,21 @@ def _unigrams(words: DataFrame) -> Unigrams:
     return Unigrams(hashes[order], order.astype(np.int64), np.array([r["c"] for r in top], np.int64), total, types, d, scale, unknown)
 
 
-def _chunks(batches) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
-    """Batches with their texts' word hashes (each ended by END), CHUNK tokens at a time."""
+def _chunks(batches, cut: bool = False) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches with their texts' word hashes (each ended by END), CHUNK tokens at a time;
+    with ``cut``, large batches are cut between texts."""
     held, words, n = [], [], 0
     for batch in batches:
-        held.append(batch)
-        for text in texts(batch):
+        start = 0
+        for i, text in enumerate(texts(batch), 1):
             found = np.append(hashed_words(text.lower().split()), END)
             words.append(found)
             n += len(found)
-        if n >= CHUNK:
-            yield held, words
-            held, words, n = [], [], 0
+            if n >= CHUNK and (cut or i == batch.num_rows):
+                yield [*held, batch.slice(start, i - start)], words
+                held, words, n, start = [], [], 0, i
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
     if held:
         yield held, words
 
@@ -261,8 +261,8 @@ def backoff(bigrams: DataFrame, unigrams: Unigrams) -> Katz:
 
 
 def train(docs: DataFrame) -> tuple[Katz, DataFrame, DataFrame, int]:
-    """The model of ``docs`` (text): its bounded part, the word table, the bigram table and
-    the number of buckets. Both tables are written."""
+    """The class model of ``docs`` (text): its bounded part, the word table, the bigram table
+    and the number of buckets. Both tables are written."""
     spark = docs.sparkSession
     words = written(word_counts(docs), "lm-words")
     unigrams = _unigrams(words)
@@ -271,117 +271,6 @@ def train(docs: DataFrame) -> tuple[Katz, DataFrame, DataFrame, int]:
     return backoff(bigrams, unigrams), words, bigrams, buckets
 
 
-def score(docs: DataFrame, katz: Katz, words: DataFrame, bigrams: DataFrame, buckets: int) -> DataFrame:
-    """Scores of (doc_id, held_out, text) rows, one for each."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(katz)  # bounded by the vocabulary
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"{PACKED}, doc_id array<{kind}>, held_out array<boolean>, known array<long>, base array<double>"
-
-    def spread(batches):
-        task, made = TaskContext.get().partitionId(), 0
-        unigrams = model.value.unigrams
-        for held, found in _chunks(batches):
-            lengths = np.array([len(w) for w in found])
-            row = np.repeat(np.arange(len(found), dtype=np.int32), lengths)
-            flat = np.concatenate(found)
-            codes = unigrams.code(flat)
-            pairs = _pairs(codes, lengths)
-            common = codes != RARE
-            counts = unigrams.counts[codes[common]] if len(unigrams.counts) else np.empty(0, np.int64)
-            base = np.bincount(row[common], unigrams.base(counts), len(found))
-            known = np.bincount(row[common], minlength=len(found))
-            chunk = task << 20 | made
-            made += 1
-            rows = [(b, PAIRS, chunk, _int32(p), None, r) for b, p, r in _by_bucket(pairs, row, buckets)]
-            rows += [(b, RARES, chunk, None, w, r) for b, w, r in _by_bucket(flat[~common].view(np.int64), row[~common], buckets)]
-            rows.append((chunk % buckets, ROWS, chunk, None, None, lengths.astype(np.int32)))
-            one = _packed(rows)
-            ids = pa.concat_arrays([b.column(0) for b in held])
-            out = pa.concat_arrays([b.column(1) for b in held])
-            last = len(rows) - 1
-            extra = [_last(x, last) for x in (ids, out, pa.array(known, pa.int64()), pa.array(base))]
-            yield pa.RecordBatch.from_arrays([*one.columns, *extra], [*one.schema.names, "doc_id", "held_out", "known", "base"])
-
-    def rare_words(batches):
-        unigrams = model.value.unigrams
-        for batch in batches:
-            w, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rest = unigrams.code(w.view(np.uint64)) == RARE
-            yield _packed([(b, WORDS, 0, None, x, n.astype(np.int32)) for b, x, n in _by_bucket(w[rest], c[rest], buckets)])
-
-    none = [F.lit(None).cast(f"array<{k}>").alias(c) for c, k in (("doc_id", kind), ("held_out", "boolean"), ("known", "long"), ("base", "double"))]
-    tables = bigrams.union(words.mapInArrow(rare_words, PACKED)).select("*", *none)
-    everything = tables.union(docs.select("doc_id", "held_out", "text").mapInArrow(spread, schema))
-    dealt = everything.repartition("bucket").sortWithinPartitions("bucket", "kind")
-
-    def look_up(batches):
-        """Per packed row of tokens: the rows of its chunk that they are of, and sums."""
-        katz = model.value
-        rare_p = math.log10(max(katz.unigrams.p_codes()[RARE], 1e-300))
-        now, pairs_here, words_here = None, None, []
-        for batch in batches:
-            out = []
-            for i, bucket, what, chunk, pairs, words, n in _rows(batch):
-                if bucket != now:
-                    now, pairs_here, words_here = bucket, None, []
-                if what == TABLE:
-                    pairs_here = (_unsigned(pairs), n.astype(np.int64))
-                elif what == WORDS:
-                    words_here.append((words, n.astype(np.int64)))
-                elif what == ROWS:
-                    out.append((chunk, n, None, None, None, i))
-                elif what == PAIRS:
-                    at, back = np.unique(n, return_inverse=True)
-                    asked = _unsigned(pairs)
-                    out.append((chunk, at, np.bincount(back, katz.score(asked, _looked_up(pairs_here, asked))), None, None, None))
-                else:
-                    if words_here and not isinstance(words_here, tuple):
-                        w, c = (np.concatenate(x) for x in zip(*words_here))
-                        order = np.argsort(w)
-                        words_here = (w[order], c[order])
-                    at, back = np.unique(n, return_inverse=True)
-                    counts = _looked_up(words_here or None, words)
-                    points = np.log10(np.maximum(katz.unigrams.p(counts), 1e-300)) - rare_p
-                    out.append((chunk, at, *(np.bincount(back, x) for x in (points, katz.unigrams.base(counts), (counts > 0).astype(float))), None))
-            kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.float64())] * 3]
-            columns = [pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)]
-            take = pa.array([r[5] for r in out], pa.int64())
-            own = [batch.column(batch.schema.names.index(c)).take(take) for c in OWN]
-            yield pa.RecordBatch.from_arrays([*columns, *own], ["chunk", "at", "score", "more_base", "more_known", *OWN])
-
-    def add_up(batches):
-        """A row for each text of a chunk, from the chunk's sums."""
-        sums = None
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-        batch_of = lambda x: pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in x], names)
-        for batch in batches:
-            columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            array = lambda c, i: columns[c][i].values.to_numpy(zero_copy_only=False)
-            for i in range(batch.num_rows):
-                if columns["held_out"][i].is_valid:  # the chunk's own row comes first
-                    if sums is not None:
-                        yield batch_of(sums)
-                    ids, held = (columns[c][i].values for c in ("doc_id", "held_out"))
-                    known, base = array("known", i).astype(np.int64), array("base", i).copy()
-                    points = np.zeros(len(ids))
-                    sums = [ids, held, pa.array(array("at", i).astype(np.int64)), known, base, points]
-                    continue
-                at = array("at", i)
-                points[at] += array("score", i)
-                if columns["more_base"][i].is_valid:
-                    base[at] += array("more_base", i)
-                    known[at] += array("more_known", i).astype(np.int64)
-        if sums is not None:
-            yield batch_of(sums)
-
-    parts = f"chunk long, at array<int>, score array<double>, more_base array<double>, more_known array<double>, doc_id array<{kind}>, held_out array<boolean>, known array<long>, base array<double>"
-    looked_up = dealt.mapInArrow(look_up, parts)
-    by_chunk = looked_up.repartition("chunk").sortWithinPartitions("chunk", F.col("held_out").isNull())
-    out = by_chunk.mapInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(katz.unigrams.total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
 def _last(values: pa.Array, before: int) -> pa.ListArray:
     """A list column that is null but for its last row, which holds ``values``."""
     return pa.ListArray.from_arrays(pa.array([0] * (before + 1) + [len(values)], pa.int32()), values)
@@ -401,10 +290,12 @@ def score_held_out(docs: DataFrame, parts: int = 7, out: int = 2, id_col: str =
     A null or empty text is its end alone. A null id is learnt from; repeated rows are
     learnt from and scored each; an empty table gives no row; further columns are ignored.
     """
+    from . import bigrams  # it uses the counts above
+
     ready(docs.sparkSession)
     held = F.coalesce(F.pmod(F.crc32(docs[id_col].cast("string")), F.lit(parts)) == out, F.lit(False))
     src = docs.select(docs[id_col].alias("doc_id"), held.alias("held_out"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return score(src, *train(src.where("not held_out")))
+    return bigrams.score(src, *bigrams.train(src.where("not held_out")))
 
 
 def op3_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:

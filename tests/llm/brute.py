@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from fieldtally.llm.katz import discounts
 from fieldtally.llm.licences import PHRASES
 from fieldtally.llm.pii import KINDS
 from fieldtally.llm.urls import RULES
@@ -84,6 +85,39 @@ def base_scores(rows: list[tuple]) -> list[tuple]:
     return [(d, out(d), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t))) for d, t in rows]
 
 
+def katz_scores(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, number of tokens, score) by backoff from bigrams of all words to unigrams."""
+    def tokens(text):
+        return ["<s>", *WORD.findall(ascii_lower(text or "")), None]
+
+    def out(doc_id):
+        return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
+
+    def kept(counts):
+        d = discounts(Counter(counts.values()))
+        return {x: d[min(n, 6)] * n for x, n in counts.items()}
+
+    learnt = [tokens(t) for d, t in rows if not out(d)]
+    words, pairs = Counter(w for t in learnt for w in t[1:]), Counter(p for t in learnt for p in zip(t, t[1:]))
+    total, kept_words, kept_pairs = sum(words.values()), kept(words), kept(pairs)
+    freed = 1 - sum(kept_words.values()) / total
+    unknown = max(freed, 1 / (total + 1))
+    p = {w: x / total * (1 - unknown) / (1 - freed) for w, x in kept_words.items()}
+    n, left, free = Counter(), Counter(), defaultdict(lambda: 1.0)
+    for (h, w), c in pairs.items():
+        n[h] += c
+        left[h] += kept_pairs[h, w]
+        free[h] -= p[w]
+
+    def one(h, w):
+        if h not in n:
+            return p.get(w, unknown)
+        share = max(1 - left[h] / n[h], 1 / (n[h] + 1))
+        return kept_pairs[h, w] * (1 - share) / left[h] if (h, w) in pairs else share / free[h] * p.get(w, unknown)
+
+    return [(d, len(x) - 1, sum(math.log10(one(*q)) for q in zip(x, x[1:]))) for d, t in rows for x in [tokens(t)]]
+
+
 def licences(text: str | None) -> tuple:
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
     places = [(i, label) for phrase, label in PHRASES for i in range(len(words)) if words[i:i + len(phrase.split())] == phrase.split()]

@@ -183,6 +183,16 @@ def test_katz_sums_to_one(spark, awkward, monkeypatch):
     assert (u.p(np.array(rare)).sum() + u.unknown) == pytest.approx(u.p_codes()[katz.RARE], abs=1e-9)
 
 
+@pytest.mark.parametrize("coded", [0, 60, 65_533])
+def test_bigrams_of_all_words_count_as_themselves(awkward, monkeypatch, coded):
+    """Scores are Katz's over full counts, however many words have codes."""
+    monkeypatch.setattr(katz, "VOCABULARY", coded)
+    have = sorted((str(r.doc_id), r.n_tokens, r.score) for r in score_held_out(awkward).collect())
+    want = sorted((str(d), n, s) for d, n, s in brute.katz_scores(awkward_rows()))
+    assert [x[:2] for x in have] == [x[:2] for x in want]
+    assert [x[2] for x in have] == pytest.approx([x[2] for x in want], rel=1e-9)
+
+
 def test_scores_beat_the_base_on_unseen_text(spark):
     rows = [(i, " ".join(random.Random(i % 40).choices(["the cat sat", "on a mat", "and saw", "the dog", "a new rug"], k=30))) for i in range(200)]
     got = score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
