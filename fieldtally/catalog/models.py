@@ -97,7 +97,7 @@ def _(t):
 def _(t):
     """Fitted on three names; the others are unseen and give zeros."""
     x = t.registry.select("l_orderkey", "l_linenumber", "l_partkey", "sub_county_name")
-    model = P.one_hot(["sub_county_name"]).fit(x.filter(F.col("sub_county_name").isin("AFRICA", "AMERICA", "ASIA")))
+    model = P.OneHot.fit(x.filter(F.col("sub_county_name").isin("AFRICA", "AMERICA", "ASIA")), ["sub_county_name"])
     hot = F.transform(vector_to_array("sub_county_name_hot"), lambda v: v.cast("int").cast("string"))
     return model.transform(x).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(hot, ",").alias("hot"))
 

@@ -12,7 +12,7 @@ from ..operators import checks as K
 from ..operators import profiles as P
 from ..operators import ranking as R
 from ..operators.joins import left_join
-from ..operators.prefix import exact_median
+from ..operators.quantiles import exact_median
 from ..plans.cleaners import clean_home_visits, clean_population, clean_visits
 from .checks import target_rows
 from .joins import supervision_area, visits

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.checks import null_only
 from ..operators.codes import category_table, encode_categories
 from ..operators.drift import long_form
-from ..operators.prefix import exact_quantiles, most_frequent
+from ..operators.quantiles import exact_quantiles, most_frequent
 
 
 def median_values(df: DataFrame, columns) -> DataFrame:
@@ -82,9 +81,32 @@ class Preparation:
         return assembler.transform(self.fill(df))
 
 
-def one_hot(columns) -> Pipeline:
-    """Text columns to one-hot vectors; unseen values give all zeros."""
-    index = StringIndexer(inputCols=list(columns), outputCols=[f"{c}_index" for c in columns],
-                          handleInvalid="keep", stringOrderType="alphabetAsc")
-    hot = OneHotEncoder(inputCols=[f"{c}_index" for c in columns], outputCols=[f"{c}_hot" for c in columns], dropLast=True)
-    return Pipeline(stages=[index, hot])
+@dataclass
+class OneHot:
+    """Text columns as sparse vectors ``<column>_hot``; unseen values and nulls give all zeros.
+
+    The labels stay a table of codes (``category_table``); the driver sees their number only.
+    """
+
+    columns: list[str]
+    codes: DataFrame
+    sizes: dict[str, int]
+
+    @staticmethod
+    def fit(df: DataFrame, columns) -> "OneHot":
+        columns = list(columns)
+        codes = category_table(df.select(*[F.col(c).cast("string").alias(c) for c in columns]), columns)
+        sizes = {r[0]: r[1] for r in codes.groupBy("column_name").agg(F.count("*")).collect()}
+        return OneHot(columns, codes, {c: sizes.get(c, 0) for c in columns})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        texts = df.withColumns({f"_t_{c}": F.col(c).cast("string") for c in self.columns})
+        renamed = self.codes.withColumn("column_name", F.concat(F.lit("_t_"), "column_name"))
+        coded = encode_categories(texts, {f"_t_{c}": f"_c_{c}" for c in self.columns}, renamed)
+        for c in self.columns:
+            # One place more than there are labels: the last is dropped, so it gives zeros.
+            place = F.when(F.col(f"_c_{c}") < 0, self.sizes[c]).otherwise(F.col(f"_c_{c}")).cast("double")
+            width = {"ml_attr": {"type": "nominal", "num_vals": self.sizes[c] + 1, "name": f"_c_{c}"}}
+            coded = coded.withColumn(f"_c_{c}", place.alias(f"_c_{c}", metadata=width))
+        hot = OneHotEncoder(inputCols=[f"_c_{c}" for c in self.columns], outputCols=[f"{c}_hot" for c in self.columns], dropLast=True)
+        return hot.fit(coded).transform(coded).drop(*[f"{p}{c}" for c in self.columns for p in ("_t_", "_c_")])

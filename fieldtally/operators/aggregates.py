@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import months_since
 from ..functions.text import clean_text, first_present
-from .prefix import exact_median
+from .quantiles import exact_median
 
 
 def supervision_by_area(sup: DataFrame, as_of: Column, key: str = "chw_area") -> DataFrame:

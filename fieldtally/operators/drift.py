@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PSI_AMBER_BELOW, PSI_GREEN_BELOW
-from .prefix import quantiles_from_counts, value_counts
+from .quantiles import quantiles_from_counts, value_counts
 from .profiles import unfold
 
 FLOOR = 1e-6

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .prefix import order_cell, running_totals
+from .scan import segmented_rank, segmented_totals
 
 
 def latest_rows(df: DataFrame, keys, ts: str, tiebreak, nulls_first: bool = False) -> DataFrame:
@@ -40,40 +39,26 @@ def removed_report(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
         "rows_removed", F.col("rows_before") - F.col("rows_after"))
 
 
-def record_rank(df: DataFrame, key: str, ts: str, tiebreak, out: str, slot: str = "day") -> DataFrame:
+def record_rank(df: DataFrame, key: str, ts: str, tiebreak, out: str) -> DataFrame:
     """1-based position of each row in its key's time order, nulls last.
 
-    A running number over one key cannot be pre-aggregated, so the key is cut into
-    time slots: rows are numbered inside (key, slot) and the slots' totals are
-    added up. No task sees a whole hot key. Rows without a time come in the order of the
-    tiebreak alone and are cut by cells of its first column.
+    A running number over one key cannot be pre-aggregated, so the rows are range-sorted by
+    (key, time, tiebreak) and numbered in pieces (see ``scan``). No task sees a whole hot
+    key, nor all of its rows without a time.
     """
-    cell = F.unix_date(F.to_date(F.date_trunc(slot, F.col(ts))))
-    if slot not in ("day", "month", "year", "week", "quarter"):
-        cell = F.unix_micros(F.date_trunc(slot, F.col(ts)))
     order = [F.col(ts).asc_nulls_last(), *[F.col(t).asc_nulls_last() for t in tiebreak]]
-    timeless = F.when(F.col(ts).isNull(), tie_cell(df, tiebreak)).otherwise(0)
-    sliced = df.withColumn("_slot", cell).withColumn("_tie", timeless).withColumn("_one", F.lit(1).cast("bigint"))
-    ranked = running_totals(sliced, ["_one"], order, groups=[key], cell=["_slot", "_tie"])
-    return ranked.withColumn(out, F.col("cum__one")).drop("_slot", "_tie", "_one", "cum__one")
-
-
-def tie_cell(df: DataFrame, tiebreak) -> Column:
-    """An order-keeping cell of the first tiebreak if that is a number, or else one cell."""
-    first = tiebreak[0] if tiebreak else None
-    number = first is not None and isinstance(df.schema[first].dataType, T.NumericType)
-    return order_cell(F.col(first)) if number else F.lit(0).cast("bigint")
+    return segmented_rank(df, order, [key], out, [key, ts, *tiebreak])
 
 
 def rows_at_positions(df: DataFrame, score: str, tiebreak, positions) -> DataFrame:
     """Rows at given shares of the ascending score order (0-based floor(n*share)).
 
     ``positions`` maps a name to (share, from_end). The wanted scores come from the counts
-    of each score; only rows that tie at a wanted score are ordered, by cells of the first
-    tiebreak. So neither the table nor a third of it with one score is sorted by one task.
+    of each score; only rows that tie at a wanted score are ordered, in pieces by ranges of
+    the tiebreak. So neither the table nor a third of it with one score is sorted by one task.
     """
     counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_score")).agg(F.count("*").alias("_n"))
-    ranked = running_totals(counts.withColumn("_cell", order_cell(F.col("_score"))), ["_n"], [F.col("_score").asc()])
+    ranked = segmented_totals(counts, ["_n"], [F.col("_score").asc()])
     nulls = df.filter(F.col(score).isNull()).agg(F.count("*")).scalar()
     n = df.agg(F.count("*")).scalar()
     # Rows without a score come first, as in the order of the whole table.
@@ -85,11 +70,9 @@ def rows_at_positions(df: DataFrame, score: str, tiebreak, positions) -> DataFra
     hit = ranked.select("*", F.inline(wanted)).filter("_pos >= _upto - _n AND _pos < _upto")
     hit = hit.select("_score", "example", (F.col("_pos") - F.col("_upto") + F.col("_n") + 1).alias("_place"))
     tied = df.join(hit, F.col(score) == F.col("_score")).drop("_score")
-    tied = tied.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_cell", tie_cell(df, tiebreak))
-    order = [F.col(t).asc() for t in tiebreak]
-    placed = running_totals(tied, ["_one"], order, groups=["example"])
+    placed = segmented_rank(tied, [F.col(t).asc() for t in tiebreak], ["example"], "_rank_here", tiebreak)
     # Of names that want one row the first is given, as before.
     rank = F.array_position(F.array(*[F.lit(name) for name in positions]), F.col("example"))
-    found = placed.filter("cum__one = _place").select(*df.columns, "example", rank.alias("_rank"))
+    found = placed.filter("_rank_here = _place").select(*df.columns, "example", rank.alias("_rank"))
     keys = [*tiebreak, score]
     return top_row(found, keys, [F.col("_rank").asc()]).drop("_rank")

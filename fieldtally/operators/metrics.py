@@ -1,8 +1,8 @@
 """Exact, tie-safe model metrics.
 
 Scored rows are first reduced to one row per distinct score. Everything that needs
-the score order works on that table with cell totals (see ``prefix``); no window runs
-over raw rows and none is unpartitioned except over the bounded table of cells.
+the score order works on that table in range-sorted pieces (see ``scan``); no window runs
+over raw rows and none is unpartitioned except over one row per piece.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEPLOYMENT_LIMITS
 from ..functions.numbers import step
-from .prefix import order_cell, running_totals
+from .scan import segmented_rank, segmented_totals
 
 
 def by_score(df: DataFrame, label: str, score: str, groups=()) -> DataFrame:
@@ -26,9 +26,8 @@ def by_score(df: DataFrame, label: str, score: str, groups=()) -> DataFrame:
 
 def cumulative(df: DataFrame, label: str, score: str, groups=()) -> DataFrame:
     """Distinct scores with tp and fp counted from the highest score down."""
-    s = by_score(df, label, score, groups).withColumn("_cell", order_cell(F.col("score")))
-    run = running_totals(s, ["pos", "neg"], [F.col("score").desc()], groups, cell_order=F.col("_cell").desc())
-    return run.drop("_cell").withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
+    run = segmented_totals(by_score(df, label, score, groups), ["pos", "neg"], [F.col("score").desc()], groups)
+    return run.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
 
 
 def _areas(groups, cum: DataFrame) -> DataFrame:
@@ -157,9 +156,8 @@ def threshold_table(df: DataFrame, label: str, score: str, thresholds=tuple(i /
 def top_k_threshold(df: DataFrame, score: str, share: float = 0.2) -> DataFrame:
     """The k-th largest score, k = max(1, floor(n*share)); 0.5 for an empty table."""
     counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count("*").alias("c"))
-    run = running_totals(counts.withColumn("_cell", order_cell(F.col("score"))), ["c"], [F.col("score").desc()],
-                         cell_order=F.col("_cell").desc())
-    total = counts.agg(F.sum("c")).scalar()
+    run = segmented_totals(counts, ["c"], [F.col("score").desc()])
+    total = run.agg(F.sum("c")).scalar()
     k = F.greatest(F.lit(1), F.floor(total * F.lit(share)))
     cut = F.max(F.when(F.col("cum_c") >= k, F.col("score")))
     return run.agg(F.coalesce(cut, F.lit(0.5)).alias("threshold"))
@@ -169,17 +167,17 @@ def precision_at_share(df: DataFrame, label: str, score: str, keys, share: float
     """Share of positives among the top rows; ties at the cut go to the smaller keys.
 
     Counts per score give the cut and all that lies above it; a second read takes the rows
-    that tie at the cut, which are put in order in pieces by ranges of the first (numeric) key.
+    that tie at the cut, which are put in order in pieces by ranges of the keys.
     """
     known = df.filter(F.col(score).isNotNull()).select(*keys, F.coalesce(F.col(label), F.lit(0)).alias("_y"), F.col(score).alias("_s"))
     counts = known.groupBy("_s").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
-    run = running_totals(counts.withColumn("_cell", order_cell(F.col("_s"))), ["_n", "_p"], [F.col("_s").desc()], cell_order=F.col("_cell").desc())
-    k = F.greatest(F.lit(1), F.floor(counts.agg(F.sum("_n")).scalar() * F.lit(share)))
+    run = segmented_totals(counts, ["_n", "_p"], [F.col("_s").desc()])
+    k = F.greatest(F.lit(1), F.floor(run.agg(F.sum("_n")).scalar() * F.lit(share)))
     cut = run.withColumn("_k", k).filter("cum__n >= _k AND cum__n - _n < _k").select(
         F.col("_s").alias("_cut"), (F.col("cum__n") - F.col("_n")).alias("_above"), (F.col("cum__p") - F.col("_p")).alias("_hits"),
         (F.col("_k") - F.col("cum__n") + F.col("_n")).alias("_room"))
-    tied = known.join(cut, F.col("_s") == F.col("_cut")).withColumn("_one", F.lit(1).cast("bigint")).withColumn("_cell", order_cell(F.col(keys[0])))
-    taken = running_totals(tied, ["_one"], [F.col(c).asc() for c in keys]).filter("cum__one <= _room").agg(
+    tied = known.join(cut, F.col("_s") == F.col("_cut"))
+    taken = segmented_rank(tied, [F.col(c).asc() for c in keys], out="_place", deal=keys).filter("_place <= _room").agg(
         F.count("*").alias("t"), F.coalesce(F.sum("_y"), F.lit(0)).alias("ty"), F.coalesce(F.max("_above"), F.lit(0)).alias("a"), F.coalesce(F.max("_hits"), F.lit(0)).alias("ay"))
     rows = F.col("t") + F.col("a")
     return taken.select(rows.alias("n_top"), F.try_divide(F.col("ty") + F.col("ay"), rows).alias("precision_at_share"))

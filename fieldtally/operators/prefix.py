@@ -1,8 +1,8 @@
-"""Running totals and exact quantiles without a single-task sort.
+"""Running totals without a single-task sort.
 
-The idea is shared by all ordered operators here. Values fall into cells that keep
-their order. Inside a cell a window adds up locally; the cells' own totals, a small
-table, are added up on top. The largest piece any task sorts is one cell of one group.
+Rows fall into cells that keep their order. Inside a cell a window adds up locally; the
+cells' own totals, a small table, are added up on top. The largest piece any task sorts is
+one cell of one group. Where no column cuts the rows evenly, ``scan`` lays the cells.
 """
 
 from __future__ import annotations
@@ -13,19 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def order_cell(value: Column, bits: int = 10) -> Column:
-    """An integer that grows with the value: sign, binary exponent and ``bits`` of fraction.
-
-    Cells are a fixed share of the value's size wide, so one huge outlier does not
-    push all other values into one cell, and there are at most about 4100 * 2**bits.
-    """
-    size = F.abs(value.cast("double"))
-    power = F.greatest(F.floor(F.log2(size)), F.lit(-1022))
-    inside = F.floor((size / F.pow(F.lit(2.0), power) - 1) * float(2**bits))
-    cell = (power + 1100) * 2**bits + inside + 1
-    return F.when(size == 0, F.lit(0).cast("bigint")).otherwise(F.signum(value).cast("bigint") * cell)
-
-
 def whole_keys(df: DataFrame, keys) -> tuple[DataFrame, list[str]]:
     """Adds non-null stand-ins for ``keys`` (the value or a default, and whether it is
     null) and names them. A window and a join on them with ``=`` share one partitioning;
@@ -58,66 +45,3 @@ def running_totals(df: DataFrame, sums, order, groups=(), cell: str | list[str]
     joined = local.join(cells, F.expr(" AND ".join(f"`{k}` = `_r{k}`" for k in keys)), "inner")
     return joined.selectExpr(*[f"`{c}`" for c in df.columns],
                              *[f"coalesce(`_b_{s}`, 0) + `_in_{s}` AS `cum_{s}`" for s in sums])
-
-
-def value_counts(df: DataFrame, value: str, groups=()) -> DataFrame:
-    """Rows per (group, value), nulls dropped: the compact form all order statistics start from."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
-
-
-def exact_quantiles(df: DataFrame, value: str, shares, groups=(), out: str = "quantiles") -> DataFrame:
-    """Linear-interpolated quantiles per group as ``array<double>``, in the order of ``shares``.
-
-    Unlike the built-in ``percentile``, which keeps every distinct value of a group in
-    one buffer, this selects by counts: the cell totals tell which cell holds each wanted
-    rank, and only rows of those cells are looked at.
-    """
-    return quantiles_from_counts(value_counts(df, value, groups), value, shares, groups, out)
-
-
-def quantiles_from_counts(counts: DataFrame, value: str, shares, groups=(), out: str = "quantiles") -> DataFrame:
-    """``exact_quantiles`` for a table of (groups, value, n).
-
-    ``cells`` holds one row per group and cell, ``wanted`` one per group, share and cell
-    that has one of the share's two neighbouring ranks. Only the values of wanted cells
-    are sorted.
-    """
-    groups = list(groups)
-    keys = [*groups, "_cell"]
-    match = F.expr(" AND ".join(f"`{k}` <=> `_r_{k}`" for k in keys))
-    # Cells of the distance from the least value: a narrow range far from 0 is split as well.
-    low = counts.agg(F.min(F.col(value).cast("double"))).scalar()
-    counts = counts.withColumn("_cell", order_cell(F.col(value).cast("double") - low))
-    run = W.partitionBy(*groups).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = counts.groupBy(*keys).agg(F.sum("n").alias("_cn"))
-    cells = cells.select("*", F.sum("_cn").over(run).alias("_upto"), F.sum("_cn").over(W.partitionBy(*groups)).alias("_total"))
-    listed = ", ".join(f"double('{s}')" for s in shares)
-    wanted = (
-        cells.selectExpr("*", f"posexplode(array({listed})) AS (_i, _share)")
-        .selectExpr(*[f"`{k}` AS `_r_{k}`" for k in keys], "_i", "_upto", "_upto - _cn AS _from",
-                    "floor((_total - 1) * _share) AS _lo", "ceil((_total - 1) * _share) AS _hi",
-                    "(_total - 1) * _share - floor((_total - 1) * _share) AS _w")
-        .filter("(_lo >= _from AND _lo < _upto) OR (_hi >= _from AND _hi < _upto)")
-    )
-    inner = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = counts.join(wanted.select(*[f"_r_{k}" for k in keys]), match, "left_semi").select("*", F.sum("n").over(inner).alias("_cum"))
-    hit = near.join(wanted, match).selectExpr(
-        *groups, "_i", "_w",
-        f"CASE WHEN _lo >= _from + _cum - n AND _lo < _from + _cum THEN double(`{value}`) END AS _a",
-        f"CASE WHEN _hi >= _from + _cum - n AND _hi < _from + _cum THEN double(`{value}`) END AS _b")
-    pick = lambda i, c: f"max(CASE WHEN _i = {i} THEN {c} END)"
-    mixed = [f"{pick(i, '_a')} + ({pick(i, '_b')} - {pick(i, '_a')}) * {pick(i, '_w')}" for i in range(len(shares))]
-    # One short array per group: len(shares) entries.
-    return hit.groupBy(*groups).agg(F.expr(f"array({', '.join(mixed)})").alias(out))
-
-
-def most_frequent(df: DataFrame, value: str, groups=(), out: str = "mode") -> DataFrame:
-    """Most frequent value per group, the smallest on ties; counted before it is compared."""
-    counts = value_counts(df, value, groups)
-    best = F.min_by(F.col(value), F.struct(-F.col("n"), F.col(value)))
-    return counts.groupBy(*groups).agg(best.alias(out))
-
-
-def exact_median(df: DataFrame, value: str, groups=(), out: str = "median") -> DataFrame:
-    q = exact_quantiles(df, value, [0.5], groups, "_q")
-    return q.select(*groups, F.col("_q")[0].alias(out))

@@ -1,4 +1,4 @@
-"""Column profiles: one aggregate for many columns, then one row per column."""
+"""Column profiles: one pass over many columns, then one row per column."""
 
 from __future__ import annotations
 
@@ -6,33 +6,60 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .checks import numeric_columns
-from .prefix import exact_quantiles
-
-# Exact distinct counts multiply the rows by the number of columns, so wide tables
-# are profiled in slices of this many columns.
-SLICE = 20
-
+from .quantiles import exact_quantiles
 
 def unfold(row: DataFrame, items) -> DataFrame:
     """A one-row table as one row per struct in ``items``."""
     return row.select(F.inline(F.array(*items)))
 
 
+WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+NESTED = (T.ArrayType, T.StructType, T.MapType)
+
+
+def _slots(df: DataFrame, column: str) -> list[Column]:
+    """The value as a double, a long or a text, whichever keeps values apart at least cost."""
+    kind, c, no = df.schema[column].dataType, F.col(f"`{column}`"), lambda k: F.lit(None).cast(k)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return [c.cast("double"), no("bigint"), no("string")]
+    if isinstance(kind, WHOLE_NUMBERS):
+        number = {T.DateType: F.unix_date, T.TimestampType: F.unix_micros, T.TimestampNTZType: lambda x: F.unix_micros(x.cast("timestamp"))}.get(type(kind))
+        return [no("double"), (number(c) if number else c).cast("bigint"), no("string")]
+    text = F.hex(c) if isinstance(kind, T.BinaryType) else F.to_json(F.struct(c)) if isinstance(kind, NESTED) else c.cast("string")
+    return [no("double"), no("bigint"), F.when(c.isNotNull(), text)]
+
+
+def value_table(df: DataFrame, columns, groups=()) -> DataFrame:
+    """(groups, position, d, l, s, n): how often each column, by its position in ``columns``,
+    has each value, null included.
+
+    One scan for any number of columns: a row becomes a narrow row per column, which is
+    counted before the shuffle. So what is shuffled are the distinct values of each task.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("position"), *[v.alias(n) for n, v in zip("dls", _slots(df, c))]) for i, c in enumerate(columns)])
+    return df.select(*groups, F.inline(pairs)).groupBy(*groups, "position", "d", "l", "s").agg(F.count("*").alias("n"))
+
+
+def per_column(df: DataFrame, columns, counts: DataFrame, out: str) -> DataFrame:
+    """One row per column, whether or not the table has rows: its name and what ``counts`` says of its position."""
+    names = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("_p", out))
+    return names.join(counts, F.col("_p") == F.col("position"), "left").drop("_p", "position")
+
+
+def _known() -> Column:
+    return F.col("d").isNotNull() | F.col("l").isNotNull() | F.col("s").isNotNull()
+
+
 def column_profile(df: DataFrame, columns=None) -> DataFrame:
     """Missing share and exact distinct count per column."""
     columns = list(df.columns if columns is None else columns)
-    parts = []
-    for at in range(0, len(columns), SLICE):
-        some = columns[at:at + SLICE]
-        row = df.agg(
-            *[F.avg(F.col(c).isNull().cast("double")).alias(f"m{i}") for i, c in enumerate(some)],
-            *[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(some)])
-        parts.append(unfold(row, [F.struct(
-            F.lit(c).alias("column"), F.col(f"m{i}").alias("missing_share"), F.col(f"d{i}").alias("n_unique"))
-            for i, c in enumerate(some)]))
-    return reduce(DataFrame.unionByName, parts)
+    counts = value_table(df, columns).groupBy("position").agg(
+        F.sum("n").alias("_n"), F.sum(F.when(~_known(), F.col("n"))).alias("_z"), F.count_if(_known()).alias("_u"))
+    return per_column(df, columns, counts, "column").select(
+        "column", (F.coalesce("_z", F.lit(0)) / F.col("_n")).alias("missing_share"), F.coalesce("_u", F.lit(0).cast("bigint")).alias("n_unique"))
 
 
 def completeness_audit(df: DataFrame) -> DataFrame:
@@ -49,21 +76,26 @@ def completeness_headline(audit: DataFrame) -> DataFrame:
 
 
 def feature_report(df: DataFrame, features, groups: dict | None = None) -> DataFrame:
-    """Null %, distinct, mean and sample deviation per feature, with its group."""
+    """Null %, distinct, mean and sample deviation per numeric feature, with its group.
+
+    All come from one table of counts per value; deviations are taken from the mean first.
+    """
     features = list(features)
     owner = {f: g for g, names in (groups or {}).items() for f in names}
-    parts = []
-    for at in range(0, len(features), SLICE):
-        some = features[at:at + SLICE]
-        row = df.agg(*[a for i, f in enumerate(some) for a in (
-            F.avg(F.col(f).isNull().cast("double")).alias(f"z{i}"), F.count_distinct(f).alias(f"d{i}"),
-            F.avg(f).alias(f"m{i}"), F.stddev_samp(f).alias(f"s{i}"))])
-        parts.append(unfold(row, [F.struct(
-            F.lit(f).alias("feature"), F.lit(owner.get(f)).cast("string").alias("feature_group"),
-            (F.col(f"z{i}") * 100).alias("null_pct"), F.col(f"d{i}").alias("n_unique"),
-            F.col(f"m{i}").alias("mean"), F.nanvl(F.col(f"s{i}"), F.lit(None).cast("double")).alias("std"))
-            for i, f in enumerate(some)]))
-    return reduce(DataFrame.unionByName, parts)
+    counts = value_table(df, features).withColumn("v", F.coalesce("d", F.col("l").cast("double"), F.col("s").cast("double")))
+    known, n = F.col("v").isNotNull(), F.col("n")
+    means = counts.groupBy("position").agg(
+        F.sum(n).alias("_rows"), F.sum(F.when(known, n)).alias("_n"), F.count_if(known).alias("_u"), F.sum(F.col("v") * n).alias("_s"))
+    means = means.withColumn("_mean", F.col("_s") / F.col("_n"))
+    off = F.col("v") - F.col("_mean")
+    spread = counts.filter(known).join(means.select(F.col("position").alias("_q"), "_mean"), F.col("position") == F.col("_q")).groupBy(
+        F.col("position").alias("_q")).agg(F.sum(off * off * n).alias("_m2"))
+    table = means.join(spread, F.col("position") == F.col("_q"), "left").drop("_q")
+    std = F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1)))
+    group = F.element_at(F.array(*[F.lit(owner.get(f)).cast("string") for f in features]), F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")).cast("int"))
+    return per_column(df, features, table, "feature").select(
+        "feature", group.alias("feature_group"), ((F.col("_rows") - F.coalesce("_n", F.lit(0))) / F.col("_rows") * 100).alias("null_pct"),
+        F.coalesce("_u", F.lit(0).cast("bigint")).alias("n_unique"), F.col("_mean").alias("mean"), F.nanvl(std, F.lit(None).cast("double")).alias("std"))
 
 
 def feature_headline(report: DataFrame) -> DataFrame:

@@ -13,12 +13,14 @@ from fieldtally.operators import joins as J
 from fieldtally.operators import metrics as M
 from fieldtally.operators import profiles as P
 from fieldtally.operators import splits as S
+from fieldtally.ml.prepare import OneHot
 from fieldtally.ml.train import fit_isotonic
 from fieldtally.operators.codes import encode_categories, mask_names
 from fieldtally.operators.history import prior_events
 from fieldtally.operators.latest import latest_rows, record_rank, rows_at_positions
-from fieldtally.operators.prefix import exact_quantiles, most_frequent, order_cell
-from fieldtally.operators.stats import correlation_matrix, label_correlation, t_test_p
+from fieldtally.operators.quantiles import exact_quantiles, most_frequent
+from fieldtally.operators.scan import range_pieces, segmented_totals
+from fieldtally.operators.stats import correlation_matrix, label_correlation, safe_corr, t_test_p
 
 
 def test_latest_rows_ties_and_null_times(spark):
@@ -52,13 +54,6 @@ def test_exact_quantiles_match_numpy(spark, seed):
         assert np.allclose(got[g], want, rtol=1e-12), g
 
 
-def test_order_cell_keeps_order(spark):
-    values = sorted([0.0, 1.0, 2.0, math.nextafter(2, 0), math.nextafter(2, 3), -1.0, -0.5, 1e-310, 5e-324, 1e308, -1e308, 0.1, 0.3, 1 / 3])
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    cells = [r[0] for r in df.orderBy("v").select(order_cell(F.col("v"))).collect()]
-    assert cells == sorted(cells)
-
-
 def test_most_frequent_smallest_on_ties(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("a", 2.0), ("a", 1.0), ("b", None), ("b", 5.0)], "g string, v double")
     assert {r["g"]: r["mode"] for r in most_frequent(df, "v", ["g"]).collect()} == {"a": 1.0, "b": 5.0}
@@ -240,16 +235,65 @@ def test_calibration_keeps_scores_apart(spark):
     assert len(fit_isotonic(spark.createDataFrame(rows * 50, "s double, y double"), "y", "s", rows=100).boundaries) > 0
 
 
-def test_running_totals_shuffle_rows_once(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def pieces_per_key(df, order, groups=()):
+    laid = range_pieces(df, order, groups)
+    rows = laid.groupBy(*groups, "_piece").agg(F.count("*").alias("n")).collect()
+    out = {}
+    for r in rows:
+        out.setdefault(tuple(r[g] for g in groups), []).append(r["n"])
+    return out
+
+
+def test_scans_cut_hot_keys_null_times_and_ties(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        df = spark.range(2000).selectExpr("if(id % 5 = 0, null, id % 3) AS k", "timestamp_seconds(id * 5000) AS ts", "id", "repeat('x', 10) AS payload")
-        plan = record_rank(df, "k", "ts", ["id"], "rank")._jdf.queryExecution().executedPlan().toString()
-        # The raw rows once, the cells (counted before they are shuffled) by cell and by group.
-        exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
-        assert len([x for x in exchanges if "_n1" in x and "_slot" not in x]) <= 2 and len(exchanges) <= 4
+        df = spark.range(4000).selectExpr("if(id % 4 > 0, 'hot', concat('k', id % 40)) AS k", "if(id % 4 = 1, null, timestamp_seconds(id * 50)) AS ts", "id", "0.5D AS s")
+        hot = pieces_per_key(df, [F.col("ts").asc_nulls_last(), F.col("id").asc()], ["k"])["hot",]
+        assert len(hot) >= 8 and max(hot) <= 1000
+        timeless = pieces_per_key(df.filter("ts is null"), [F.col("ts").asc_nulls_last(), F.col("id").asc()], ["k"])["hot",]
+        assert len(timeless) >= 8 and max(timeless) <= 250
+        tied = pieces_per_key(df, [F.col("s").desc(), F.col("id").asc()])[()]
+        assert len(tied) >= 8 and max(tied) <= 1000
+        # Fifty features, each far from the others and narrow: all are cut by their own values.
+        long = spark.range(50 * 400).selectExpr("id % 50 AS f", "pow(10, id % 50 - 20) * (1 + (id div 50) * 1e-9) AS v")
+        by_feature = pieces_per_key(long.withColumn("f", F.when(F.col("f") < 5, 0).otherwise(F.col("f"))), [F.col("v").asc()], ["f"])
+        assert len(by_feature) == 46 and len(by_feature[0,]) > 1 and sum(map(sum, by_feature.values())) == 20_000
+        one = pieces_per_key(long.filter("f = 7"), [F.col("v").asc()], ["f"])[7,]
+        assert len(one) >= 8 and max(one) <= 100
+        got = {r["f"]: r["quantiles"] for r in exact_quantiles(long, "v", [0.25, 0.5], ["f"]).collect()}
+        for f in range(50):
+            assert got[f] == pytest.approx(list(np.quantile([10.0 ** (f - 20) * (1 + i * 1e-9) for i in range(400)], [0.25, 0.5])), rel=1e-12)
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_scans_read_their_source_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(2000).selectExpr("id % 3 AS k", "timestamp_seconds(id * 5000) AS ts", "id", "cast(id % 2 as int) AS f", "cast(id % 5 as int) AS d")
+    df = df.repartition(4, "id").mapInArrow(count, df.schema).repartition(5, "id")
+    for run in (lambda: record_rank(df, "k", "ts", ["id"], "rank"), lambda: prior_events(df, "k", "ts", ["id"], "f", "d"),
+                lambda: exact_quantiles(df, "id", [0.5], ["k"])):
+        before = seen.value
+        assert run().count() in (2000, 3)
+        assert seen.value - before == 2000
+
+
+def test_segmented_totals_restart_at_each_key(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), rng.choice([None, *range(20)]), i, rng.randint(-3, 9)) for i in range(700)]
+    got = segmented_totals(spark.createDataFrame(rows, "k string, t int, id int, v int"), ["v"], [F.col("t").desc_nulls_last(), F.col("id").asc()], ["k"])
+    assert got.columns == ["k", "t", "id", "v", "cum_v"]
+    have, total = {r["id"]: r["cum_v"] for r in got.collect()}, {}
+    for k, t, i, v in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2])):
+        total[k] = total.get(k, 0) + v
+        assert have[i] == total[k]
+    assert segmented_totals(spark.createDataFrame([], "k string, t int, v int"), ["v"], [F.col("t").asc()], ["k"]).count() == 0
 
 
 def test_record_rank_without_times(spark):
@@ -274,3 +318,63 @@ def test_stratified_split_is_exact(spark):
     df = spark.range(1003).selectExpr("id", "if(id % 10 = 0, 1, 0) AS y")
     n = {(r["part"], r["y"]): r["n"] for r in S.stratified_split(df, ["id"], "y", 0.2, 42).groupBy("part", "y").agg(F.count("*").alias("n")).collect()}
     assert n["test", 1] == 20 and n["test", 0] == 180
+
+
+def test_profiles_count_in_one_pass(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1.5, -0.0, 0.0, float("nan")]), rng.choice([None, 2**53, 2**53 + 1, 7]), rng.choice([None, "a", "b", ""]),
+             rng.choice([None, True, False]), rng.choice([None, [1], [1, 2], []]), "0.10" if i % 2 else None, bytes([i % 3])) for i in range(300)]
+    df = spark.createDataFrame(rows, "d double, l long, s string, b boolean, a array<int>, t string, x binary").selectExpr(
+        "*", "cast(t as decimal(10,2)) AS c", "date_add('2024-01-01', cast(l % 3 as int)) AS day", "timestamp_seconds(l % 5) AS ts", *[f"l % {i + 2} AS wide{i}" for i in range(40)])
+    for some in (df, df.filter("false")):
+        got = {r["column"]: (r["missing_share"], r["n_unique"]) for r in P.column_profile(some).collect()}
+        want = some.agg(*[x for c in df.columns for x in (F.avg(F.col(c).isNull().cast("double")), F.count_distinct(c))]).first()
+        assert list(got) and got == {c: (want[2 * i], want[2 * i + 1]) for i, c in enumerate(df.columns)}
+    plan = P.column_profile(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    numbers = ["l", "b", "c", *[f"wide{i}" for i in range(40)]]
+    wide = df.select(*[F.col(c).cast("int").alias(c) if c == "b" else F.col(c) for c in numbers])
+    got = {r["feature"]: r for r in P.feature_report(wide, numbers, {"g": ["l"]}).collect()}
+    want = wide.agg(*[x for c in numbers for x in (F.avg(F.col(c).isNull().cast("double")) * 100, F.count_distinct(c), F.avg(c), F.stddev_samp(c))]).first()
+    for i, c in enumerate(numbers):
+        r = got[c]
+        assert r["n_unique"] == want[4 * i + 1] and r["feature_group"] == ("g" if c == "l" else None)
+        assert (r["null_pct"], r["mean"], r["std"]) == pytest.approx((want[4 * i], float(want[4 * i + 2]), want[4 * i + 3]), rel=1e-12)
+
+
+def test_block_products_equal_pairwise_correlations(spark):
+    rng = np.random.default_rng(5)
+    names = [f"f{i}" for i in range(50)]
+    data = rng.normal(size=(400, 50)) * np.logspace(-3, 3, 50) + np.linspace(-1e4, 1e4, 50)
+    data[:, 7] = 3.3
+    rows = [tuple(None if rng.random() < 0.1 + 0.8 * (j == 9) else float(v) for j, v in enumerate(r)) for r in data]
+    rows = [tuple(float("nan") if j == 11 and i == 5 else None if j == 13 else v for j, v in enumerate(r)) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in correlation_matrix(df, names).collect()}
+    assert len(got) == 2500 and got["f3", "f3"] == pytest.approx(1) and got["f7", "f7"] is None
+    pairs = list(itertools.combinations(range(50), 2))
+    for at in range(0, len(pairs), 245):
+        some = pairs[at:at + 245]
+        want = df.agg(*[safe_corr(F.col(names[i]), F.col(names[j])).alias(f"c{k}") for k, (i, j) in enumerate(some)]).first()
+        for (i, j), w in zip(some, want):
+            w = None if w is None or math.isnan(w) else w
+            assert got[names[i], names[j]] == got[names[j], names[i]] == (w if w is None else pytest.approx(w, abs=1e-8)), (i, j)
+    none = correlation_matrix(df.filter("false"), names[:3]).collect()
+    assert len(none) == 9 and all(r["r"] is None for r in none)
+
+
+def test_one_hot_from_the_code_table(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "y"), (None, "x"), ("c", None), ("b", "y")], "c string, d string")
+    hot = OneHot.fit(df, ["c", "d"])
+    assert hot.sizes == {"c": 3, "d": 2}
+    new = spark.createDataFrame([("a", "x"), ("c", "new"), (None, "y"), ("zz", None)], "c string, d string")
+    got = {r["c"]: (r["c_hot"].toArray().tolist(), r["d_hot"].toArray().tolist()) for r in hot.transform(new).collect()}
+    assert got == {"a": ([1, 0, 0], [1, 0]), "c": ([0, 0, 1], [0, 0]), None: ([0, 0, 0], [0, 1]), "zz": ([0, 0, 0], [0, 0])}
+    assert hot.transform(new).columns == ["c", "d", "c_hot", "d_hot"]
+
+
+def test_one_hot_of_many_labels(spark):
+    many = spark.range(1_000_000).selectExpr("concat('label', id) AS c")
+    hot = OneHot.fit(many, ["c"])
+    row = hot.transform(many.limit(3)).select("c_hot").collect()
+    assert hot.sizes == {"c": 1_000_000} and all(r[0].size == 1_000_000 and r[0].numNonzeros() == 1 for r in row)
