@@ -13,7 +13,6 @@ held by every task. Pairs travel as packed arrays, a row for each task's part of
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -39,12 +38,20 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
-    raw = pickle.dumps(arrays, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """The arrays with their kinds and lengths, packed; a few bytes more than what is in them."""
+    head = [bytes([len(arrays)]), *(a.dtype.char.encode() + len(a).to_bytes(4, "little") for a in arrays)]
+    raw = b"".join([*head, *(a.tobytes() for a in arrays)])
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _arrays(blob: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+    raw = pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+    out, at = [], 1 + 5 * raw[0]
+    for i in range(1, at, 5):
+        kind, n = np.dtype(chr(raw[i])), int.from_bytes(raw[i + 1:i + 5], "little")
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * kind.itemsize
+    return tuple(out)
 
 
 def _steps(rows: np.ndarray) -> np.ndarray:
@@ -82,6 +89,16 @@ class Pairs:
     def take(self, at: np.ndarray) -> Pairs:
         return Pairs(self.h[at], self.w[at], self.h_code[at], self.w_code[at], self.n[at])
 
+    def counted(self) -> Pairs:
+        """Distinct pairs with the sums of ``n``, in the order of their codes, which packs best."""
+        _, first, at = np.unique(pair_keys(self.h, self.w), return_index=True, return_inverse=True)
+        n = np.bincount(at, self.n).astype(np.int32)
+        del at
+        order = np.argsort(self.h_code[first].astype(np.int32) << 16 | self.w_code[first], kind="stable")
+        out = self.take(first[order])
+        out.n = n[order]
+        return out
+
     def blob(self) -> bytes:
         return _blob(self.h_code, self.h[self.h_code == RARE], self.w_code, self.w[self.w_code == RARE], self.n)
 
@@ -154,14 +171,13 @@ def _rare_words(pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bigram_table(docs: DataFrame, codes, buckets: int) -> DataFrame:
-    """A packed row for each bucket and side, its pairs sorted by their keys."""
+    """A packed row for each bucket and side."""
 
     def gather(batches):
         for _, words in _chunks(batches):
             tokens = codes.value.laid(words)
-            _, first, n = np.unique(pair_keys(tokens.h, tokens.w), return_index=True, return_counts=True)
-            pairs = tokens.take(first)
-            pairs.n = n.astype(np.int64)
+            tokens.n = np.ones(len(tokens.n), np.int8)
+            pairs = tokens.counted()
             del tokens
             yield _packed((b, kind, 0, p.blob()) for b, kind, p in pairs.dealt(buckets))
 
@@ -169,12 +185,7 @@ def bigram_table(docs: DataFrame, codes, buckets: int) -> DataFrame:
         now, blobs = None, []
 
         def one():
-            pairs = codes.value.pairs(blobs)
-            _, first, at = np.unique(pair_keys(pairs.h, pairs.w), return_index=True, return_inverse=True)
-            n = np.bincount(at, pairs.n).astype(np.int64)
-            pairs = pairs.take(first)
-            pairs.n = n
-            return _packed([(*now, 0, pairs.blob())])
+            return _packed([(*now, 0, codes.value.pairs(blobs).counted().blob())])
 
         for bucket, kind, data in _rows(batches):
             if (bucket, kind) != now and blobs:
@@ -225,7 +236,9 @@ class Bucket:
             self.cover.append(_arrays(data))
             return
         pairs = self.model.codes.pairs([data])
-        self.table[kind] = pair_keys(pairs.h, pairs.w), pairs.n
+        keys = pair_keys(pairs.h, pairs.w)
+        order = np.argsort(keys)
+        self.table[kind] = keys[order], pairs.n[order]
         if kind == WORD:
             self.rare = _rare_words(pairs)
         else:

@@ -5,9 +5,7 @@ with backoff weights that make every history's probabilities sum to one. The las
 the unigram, whose freed mass is the unknown word's.
 
 Scores come from ``bigrams``, where every word and every pair is counted as itself. Here
-are the counts of words and the discounts that it uses, and a smaller class model (``train``),
-which no query uses: words beyond the ``VOCABULARY`` most frequent are one class in its
-bigrams, and a member's share of the class comes from its own count.
+are the counts of words and the discounts that it uses.
 """
 
 from __future__ import annotations
@@ -29,11 +27,8 @@ VOCABULARY = 65_533  # words with codes
 RARE, BEGIN = 65_533, 65_534  # codes of all other words, and of a text's start
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
 DISCOUNTED = 5  # counts up to this are discounted
-CHUNK = 1_000_000  # tokens that a task gathers before it packs them
-PER_BUCKET = 3_000_000  # training tokens for each bucket
-
-PACKED = "bucket int, kind int, chunk long, pairs array<int>, words array<long>, n array<int>"
-TABLE = 0
+CHUNK = 300_000  # tokens that a task gathers before it packs them
+PER_BUCKET = 1_000_000  # training tokens for each bucket
 
 
 def discounts(times: dict[int, int]) -> np.ndarray:
@@ -70,13 +65,6 @@ class Unigrams:
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1.0) / (self.total + self.types + 1))
 
-    def p_codes(self) -> np.ndarray:
-        """Probabilities by code, of the class of rare words too."""
-        p = np.zeros(BEGIN + 1)
-        p[:len(self.counts)] = self.p(self.counts)
-        p[RARE] = max(1 - p[:RARE].sum(), self.unknown)
-        return p
-
     def code(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.full(len(words), RARE, np.int64)
@@ -116,43 +104,6 @@ def _chunks(batches, cut: bool = False) -> Iterator[tuple[list[pa.RecordBatch],
         yield held, words
 
 
-def _pairs(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """history << 16 | word for every token, texts laid end to end."""
-    before = np.empty_like(codes)
-    before[1:] = codes[:-1]
-    before[np.cumsum(lengths) - lengths] = BEGIN
-    return (before << 16) | codes
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-
-
-def _by_bucket(keys: np.ndarray, values: np.ndarray, buckets: int):
-    of = _bucket(keys, buckets)
-    order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        here = order[edges[b]:edges[b + 1]]
-        if len(here):
-            yield b, keys[here], values[here]
-
-
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    """rows: (bucket, kind, chunk, pairs or None, words or None, n)"""
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    names = ["bucket", "kind", "chunk", "pairs", "words", "n"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-
-def _int32(pairs: np.ndarray) -> np.ndarray:
-    return pairs.astype(np.uint32).view(np.int32)
-
-
-def _unsigned(pairs: np.ndarray) -> np.ndarray:
-    return pairs.view(np.uint32).astype(np.int64)
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(w: hash of the word, c) over the texts' words and ends."""
 
@@ -164,113 +115,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def bigram_counts(docs: DataFrame, unigrams, buckets: int) -> DataFrame:
-    """The bigram table: a packed row for each bucket, its pairs sorted."""
-
-    def gather(batches):
-        for _, words in _chunks(batches):
-            pairs, n = np.unique(_pairs(unigrams.value.code(np.concatenate(words)), np.array([len(w) for w in words])), return_counts=True)
-            yield _packed([(b, TABLE, 0, _int32(p), None, c.astype(np.int32)) for b, p, c in _by_bucket(pairs, n, buckets)])
-
-    def add_up(batches):
-        for bucket, rows in _buckets(batches):
-            parts = [(p, n) for *_, p, _, n in rows]
-            pairs, at = np.unique(np.concatenate([_unsigned(p) for p, _ in parts]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in parts]))
-            yield _packed([(bucket, TABLE, 0, _int32(pairs), None, n.astype(np.int32))])
-
-    gathered = docs.select("text").mapInArrow(gather, PACKED)
-    return gathered.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, PACKED)
-
-
-def _rows(batch: pa.RecordBatch):
-    names = batch.schema.names
-    columns = {c: batch.column(names.index(c)) for c in ("bucket", "kind", "chunk", "pairs", "words", "n")}
-    plain = [columns[c].to_pylist() for c in ("bucket", "kind", "chunk")]
-    array = lambda c, i: columns[c][i].values.to_numpy(zero_copy_only=False) if columns[c][i].is_valid else None
-    for i, (bucket, kind, chunk) in enumerate(zip(*plain)):
-        yield i, bucket, kind, chunk, array("pairs", i), array("words", i), array("n", i)
-
-
-def _buckets(batches):
-    """(bucket, its rows) of a stream that is sorted by bucket."""
-    now, rows = None, []
-    for batch in batches:
-        for _, bucket, *row in _rows(batch):
-            if bucket != now and rows:
-                yield now, rows
-                rows = []
-            now = bucket
-            rows.append(row)
-    if rows:
-        yield now, rows
-
-
-@dataclass
-class Katz:
-    unigrams: Unigrams
-    d: np.ndarray
-    log_p: np.ndarray  # of each code by the unigram
-    log_seen: np.ndarray  # by history: the factor of a seen pair's discounted count
-    log_backoff: np.ndarray  # by history
-
-    def score(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 P(word | history) from the pairs and their training counts: the bigram's
-        if it was seen, or else the backoff weight and the next shorter model."""
-        history, word = pairs >> 16, pairs & 0xFFFF
-        seen = np.log10(np.maximum(self.d[np.minimum(counts, DISCOUNTED + 1)] * counts, 1e-300)) + self.log_seen[history]
-        return np.where(counts > 0, seen, self.log_backoff[history] + self.log_p[word])
-
-
-def backoff(bigrams: DataFrame, unigrams: Unigrams) -> Katz:
-    """Discounts and exactly normalised backoff weights, from sums for each history."""
-    spark = bigrams.sparkSession
-
-    def low_counts(batches):
-        total = np.zeros(DISCOUNTED + 2, np.int64)
-        for batch in batches:
-            for *_, n in _rows(batch):
-                total += np.bincount(np.minimum(n, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[:DISCOUNTED + 2]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DISCOUNTED + 2)), pa.array(total)], ["r", "types"])
-
-    times = {r[0]: r[1] for r in bigrams.mapInArrow(low_counts, "r long, types long").groupBy("r").agg(F.sum("types")).collect()}
-    d, p = discounts(times), unigrams.p_codes()
-    shared = spark.sparkContext.broadcast((d, p))
-
-    def sums(batches):
-        d, p = shared.value
-        for batch in batches:
-            for _, _, _, _, pairs, _, n in _rows(batch):
-                pairs = _unsigned(pairs)
-                history, at = np.unique(pairs >> 16, return_inverse=True)
-                columns = [np.bincount(at, w) for w in (n, d[np.minimum(n, DISCOUNTED + 1)] * n, p[pairs & 0xFFFF])]
-                yield pa.RecordBatch.from_arrays([pa.array(history), *map(pa.array, columns)], ["h", "n", "kept", "covered"])
-
-    rows = bigrams.mapInArrow(sums, "h long, n double, kept double, covered double").groupBy("h").agg(F.sum("n"), F.sum("kept"), F.sum("covered")).collect()
-    # At most a row for each history, which the vocabulary bounds.
-    factor, weight = np.ones(BEGIN + 1), np.ones(BEGIN + 1)
-    for h, n, kept, covered in rows:
-        free = 1 - covered
-        if free <= 1e-12:  # every word was seen after it: nothing is left to back off to
-            factor[h], weight[h] = 1 / kept, 1e-300
-            continue
-        left = max(1 - kept / n, 1 / (n + 1))
-        factor[h], weight[h] = (1 - left) / kept, left / free
-    with np.errstate(divide="ignore"):
-        return Katz(unigrams, d, np.log10(np.maximum(p, 1e-300)), np.log10(factor), np.log10(weight))
-
-
-def train(docs: DataFrame) -> tuple[Katz, DataFrame, DataFrame, int]:
-    """The class model of ``docs`` (text): its bounded part, the word table, the bigram table
-    and the number of buckets. Both tables are written."""
-    spark = docs.sparkSession
-    words = written(word_counts(docs), "lm-words")
-    unigrams = _unigrams(words)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(unigrams.total / PER_BUCKET))
-    bigrams = written(bigram_counts(docs, spark.sparkContext.broadcast(unigrams), buckets), "lm-bigrams")
-    return backoff(bigrams, unigrams), words, bigrams, buckets
-
-
 def _last(values: pa.Array, before: int) -> pa.ListArray:
     """A list column that is null but for its last row, which holds ``values``."""
     return pa.ListArray.from_arrays(pa.array([0] * (before + 1) + [len(values)], pa.int32()), values)
