@@ -20,8 +20,8 @@ from ..operators.prefix import running_totals
 from .common import ready, table, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
-PIECE_ROWS = 50_000  # rows of a source that one task orders, about
-CHUNK = 1 << 16  # slots that one task ranks
+PIECE_ROWS = 4_000  # rows of a source that one task orders, about
+CHUNK = 1 << 13  # slots that one task ranks
 COPIES = 1_000  # equal rows that are laid as one
 POINT_BITS = 52
 
