@@ -58,7 +58,7 @@ def _(t):
 
 @query("d05_max_over_union", uses="planning", sql="""
   SELECT contact_parent_id, max(CASE lower(trim(on_fp)) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END) AS household_on_fp
-  FROM planning WHERE o_orderstatus IN ('F', 'P') AND contact_parent_id IS NOT NULL GROUP BY 1""")
+  FROM planning WHERE contact_parent_id IS NOT NULL GROUP BY 1""")
 def _(t):
     return planning(t)
 

@@ -87,11 +87,11 @@ def _(t):
 
 
 AUDIT = """audit AS (SELECT patient_id, CASE lower(trim(is_immunization_defaulter)) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS lab FROM pnc
-  WHERE o_orderstatus = 'P' AND is_immunization_defaulter IS NOT NULL QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY record_no) = 1)"""
+  WHERE is_immunization_defaulter IS NOT NULL QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY record_no) = 1)"""
 
 
 def pnc(t):
-    return C.clean_postnatal(t.pnc.filter("o_orderstatus = 'P'"))
+    return C.clean_postnatal(t.pnc)
 
 
 @query("c06_join_audit_label", uses="iz_latest pnc", sql=f"WITH {AUDIT} SELECT v.visit_no, a.lab AS _pnc_iz_defaulter FROM iz_latest v LEFT JOIN audit a USING (patient_id)")
@@ -100,12 +100,12 @@ def _(t):
 
 
 PLANNING = """fp AS (SELECT contact_parent_id AS k, max(CASE lower(trim(on_fp)) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END) AS household_on_fp
-  FROM planning WHERE o_orderstatus IN ('F', 'P') AND contact_parent_id IS NOT NULL GROUP BY 1)"""
+  FROM planning WHERE contact_parent_id IS NOT NULL GROUP BY 1)"""
 
 
 def planning(t):
     p = C.clean_family_planning(t.planning)
-    return household_planning(p.filter("o_orderstatus = 'F'"), p.filter("o_orderstatus = 'P'"))
+    return household_planning(p.filter("o_orderstatus = 'F'"), p.filter("o_orderstatus != 'F'"))
 
 
 @query("c07_join_household_planning", uses="iz_latest planning", sql=f"WITH {PLANNING} SELECT v.visit_no, f.household_on_fp FROM iz_latest v LEFT JOIN fp f ON v.contact_parent_id = f.k")

@@ -18,6 +18,7 @@ from ..session import fresh_path
 from ..sources import tables as S
 from .registry import query
 from .shape import as_of, rounded, ts_text
+from .standins import STANDINS
 
 
 @query("a01_csv_scan", uses="iz", sql="""
@@ -30,18 +31,38 @@ def _(t):
     return df.withColumn("reported", ts_text("reported"))
 
 
-@query("a02_load_all", uses="homevisit population", sql="""
-  SELECT n AS table_name, CASE WHEN n IN ('homevisit', 'population') THEN 1 ELSE 0 END AS loaded,
-    CASE n WHEN 'homevisit' THEN (SELECT count(*) FROM homevisit) WHEN 'population' THEN (SELECT count(*) FROM population) END AS n_rows
-  FROM (SELECT unnest(['iz','active_chps','supervision','homevisit','population','pnc','preg_reg','preg_reg2',
-    'preg_visit','preg_visit2','fp','refill']) AS n)""")
+# The twelve source tables: a stand-in each, and the rows of it where two tables share one.
+SOURCES = {
+    "iz": ("iz", None), "active_chps": ("registry", None), "supervision": ("supervision", None), "homevisit": ("homevisit", None),
+    "population": ("population", None), "pnc": ("pnc", None), "preg_reg": ("preg", "reported < '1998-01-01'"), "preg_reg2": ("preg", "reported >= '1998-01-01'"),
+    "preg_visit": ("preg", "record_no % 2 = 0"), "preg_visit2": ("preg", "record_no % 2 = 1"), "fp": ("planning", "o_orderstatus = 'F'"),
+    "refill": ("planning", "o_orderstatus != 'F'")}
+ALL_SOURCES = "iz registry supervision homevisit population pnc preg planning"
+
+
+def source_tables(t) -> dict:
+    return {n: getattr(t, s) if rows is None else getattr(t, s).filter(rows) for n, (s, rows) in SOURCES.items()}
+
+
+def columns_of(standin: str) -> list[str]:
+    return [e.rsplit(" AS ", 1)[-1] for e in STANDINS[standin][1]]
+
+
+def _per_source(select) -> str:
+    """One SQL row per source table."""
+    return " UNION ALL ".join(f"{select(n, columns_of(s))} FROM {s}" + (f" WHERE {rows}" if rows else "") for n, (s, rows) in SOURCES.items())
+
+
+@query("a02_load_all", uses=ALL_SOURCES, sql="SELECT 'not_there' AS table_name, 0 AS loaded, NULL::BIGINT AS n_rows, NULL::INT AS n_columns UNION ALL "
+       + _per_source(lambda n, columns: f"SELECT '{n}', 1, count(*), {len(columns) + 1}"))
 def _(t):
+    """All columns of all twelve tables as CSV, loaded with one more name that is not there."""
     folder = fresh_path(t.spark, "raw")
-    S.write_table(t.homevisit.select("chw_area", "family_id", "reported"), f"{folder}/homevisit.csv")
-    S.write_table(t.population.select("chw_area", "u2_pop"), f"{folder}/population.csv")
-    found, missing = S.load_all(t.spark, folder)
-    names = t.spark.createDataFrame([(n, int(n not in missing)) for n in SOURCE_TABLES], "table_name string, loaded int")
-    counts = P.table_inventory(found).select(F.col("table_name").alias("_t"), F.col("raw_rows").alias("n_rows"))
+    for name, df in source_tables(t).items():
+        S.write_table(df, f"{folder}/{name}.csv")
+    found, missing = S.load_all(t.spark, folder, [*SOURCE_TABLES, "not_there"])
+    names = t.spark.createDataFrame([(n, int(n not in missing)) for n in [*SOURCE_TABLES, "not_there"]], "table_name string, loaded int")
+    counts = P.table_inventory(found).select(F.col("table_name").alias("_t"), F.col("raw_rows").alias("n_rows"), "n_columns")
     return names.join(counts, F.col("table_name") == F.col("_t"), "left").drop("_t")
 
 
@@ -56,13 +77,11 @@ def _(t):
     return S.parse_dates(t.iz.select("visit_no", "reported"), "iz").withColumn("reported", ts_text("reported"))
 
 
-@query("a05_load_summary", uses="supervision population", sql="""
-  SELECT 'supervision' AS table_name, count(*) AS n_rows, 3 AS n_cols,
-    round(100.0 * sum((reported IS NULL)::INT + (has_all_tools IS NULL)::INT + (uuid IS NULL)::INT) / (3 * count(*)), 6) AS null_pct FROM supervision
-  UNION ALL SELECT 'population', count(*), 2, round(100.0 * sum((u2_pop IS NULL)::INT + (chw_area IS NULL)::INT) / (2 * count(*)), 6) FROM population""")
+@query("a05_load_summary", uses=ALL_SOURCES, sql=_per_source(
+    lambda n, columns: f"SELECT '{n}' AS table_name, count(*) AS n_rows, {len(columns)} AS n_cols, "
+    f"round(100.0 * sum({' + '.join(f'({c} IS NULL)::INT' for c in columns)}) / ({len(columns)} * count(*)), 6) AS null_pct"))
 def _(t):
-    return rounded(P.load_summary({"supervision": t.supervision.select("uuid", "reported", "has_all_tools"),
-                                   "population": t.population.select("chw_area", "u2_pop")}))
+    return rounded(P.load_summary(source_tables(t)))
 
 
 @query("a06_read_write_by_extension", uses="population", sql="""
@@ -107,13 +126,10 @@ def _(t):
 
 def person_tables(t) -> dict:
     """Cleaned stand-ins by source name, and the unique columns of each."""
-    reg = t.registry.select("chw_area_uuid", "community_unit", "county_name", "sub_county_name", "reported",
-                            "chw_phone", "l_orderkey", "l_linenumber", "l_partkey")
-    raw = {"iz": t.iz, "active_chps": reg, "supervision": t.supervision, "homevisit": t.homevisit,
-           "population": t.population, "pnc": t.pnc.filter("o_orderstatus = 'P'"),
-           "preg_reg": t.preg.filter("reported < '1998-01-01'"), "preg_reg2": t.preg.filter("reported >= '1998-01-01'"),
-           "fp": t.planning.filter("o_orderstatus = 'F'"), "refill": t.planning.filter("o_orderstatus = 'P'")}
-    return clean_all(raw)
+    raw = source_tables(t)
+    raw["active_chps"] = t.registry.select("chw_area_uuid", "community_unit", "county_name", "sub_county_name", "reported",
+                                           "chw_phone", "l_orderkey", "l_linenumber", "l_partkey")
+    return clean_all({n: raw[n] for n in raw if not n.startswith("preg_visit")})
 
 
 TIEBREAKS = {"iz": ["visit_no"], "active_chps": ["l_orderkey", "l_linenumber", "l_partkey"], "pnc": ["record_no"]}
@@ -127,9 +143,9 @@ PERSON_SQL = """
   WITH reg AS (SELECT chw_area_uuid, community_unit, county_name, sub_county_name FROM registry
       QUALIFY row_number() OVER (PARTITION BY chw_area_uuid ORDER BY reported DESC NULLS LAST, l_orderkey DESC, l_linenumber DESC, l_partkey DESC) = 1),
     fp AS (SELECT contact_parent_id AS k, max(CASE lower(trim(on_fp)) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END) AS household_on_fp
-      FROM planning WHERE o_orderstatus IN ('F', 'P') AND contact_parent_id IS NOT NULL GROUP BY 1),
+      FROM planning WHERE contact_parent_id IS NOT NULL GROUP BY 1),
     audit AS (SELECT patient_id, CASE lower(trim(is_immunization_defaulter)) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS lab FROM pnc
-      WHERE o_orderstatus = 'P' AND is_immunization_defaulter IS NOT NULL
+      WHERE is_immunization_defaulter IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY record_no) = 1),
     cty AS (SELECT county, dense_rank() OVER (ORDER BY county) - 1 AS code FROM (SELECT DISTINCT county FROM iz WHERE county IS NOT NULL)),
     sub AS (SELECT sub_county_name AS s, dense_rank() OVER (ORDER BY sub_county_name) - 1 AS code
@@ -182,13 +198,20 @@ def _(t):
     return rounded(t.spark.read.schema("n bigint, positives bigint, brier_score double").json(path))
 
 
-EXTRACTS = {"iz": "iz", "supervision": "supervision", "active_chps": "registry", "homevisit": "homevisit", "population": "population"}
-for _name, _standin in EXTRACTS.items():
-    @query(f"b03_extract_{_name}", uses=_standin, sql=f"SELECT record_hash FROM {_standin}" if _name != "iz" else "SELECT uuid, month FROM iz")
-    def _(t, s=_standin):
-        """Full-table select through a named view."""
-        getattr(t, s).createOrReplaceTempView(f"src_{s}")
-        return t.spark.table(f"src_{s}").select(*(["uuid", "month"] if s == "iz" else ["record_hash"]))
+EXTRACTS = {"iz": [], "supervision": ["reported", "last_visit_date"], "active_chps": ["reported"], "homevisit": ["reported"], "population": []}
+
+
+def _extract_sql(name):
+    times = [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in EXTRACTS[name]]
+    return "SELECT *" + (f" REPLACE ({', '.join(times)})" if times else "") + f" FROM {SOURCES[name][0]}"
+
+
+for _name in EXTRACTS:
+    @query(f"b03_extract_{_name}", uses=SOURCES[_name][0], sql=_extract_sql(_name))
+    def _(t, n=_name):
+        """Full-table select through a named view; times as text."""
+        getattr(t, SOURCES[n][0]).createOrReplaceTempView(f"src_{n}")
+        return t.spark.sql(f"SELECT * FROM src_{n}").withColumns({c: ts_text(c) for c in EXTRACTS[n]})
 
 
 STAGING = {
