@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import INACTIVE_SUPERVISION_COLUMNS
+from ..constants import CORE_DOSES, INACTIVE_SUPERVISION_COLUMNS
 from ..functions.numbers import all_present_flag, missing_share
 from ..functions.text import snake_case_columns
 from ..operators import checks as K
@@ -51,17 +51,17 @@ def _(t):
                     "county_encoded", F.lit(len(x.columns) - 1).alias("n_features"))
 
 
-@query("b10_drop_null_features", uses="iz_clean", sql="""
-  SELECT 'patient_age_in_months' AS feature, count(patient_age_in_months) AS n FROM iz_clean
-  UNION ALL SELECT 'due_count_clean', count(due_count_clean) FROM iz_clean
-  UNION ALL SELECT 'patient_sex_binary', count(patient_sex_binary) FROM iz_clean""")
+USABLE = ["patient_age_in_months", "due_count_clean", "patient_sex_binary", *CORE_DOSES]
+
+
+@query("b10_drop_null_features", uses="iz_clean", sql=" UNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{'numeric' if i < 2 else 'binary'}' AS kind, count({f}) AS n FROM iz_clean" for i, f in enumerate(USABLE)))
 def _(t):
+    """Every feature that has a value, with its kind and values; the other features are dropped."""
     x = K.select_features(clean_visits(t.iz))
-    kinds = K.usable_features(x)
-    wanted = [f for f in ("patient_age_in_months", "due_count_clean", "patient_sex_binary", "chw_workload_u2")
-              if f in kinds["numeric"] + kinds["binary"]]
-    row = x.agg(*[F.count(f).alias(f) for f in wanted])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("n")) for f in wanted])))
+    kinds = [(f, k) for k, names in K.usable_features(x).items() for f in names]
+    row = x.agg(*[F.count(f).alias(f) for f, _ in kinds])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(k).alias("kind"), F.col(f).alias("n")) for f, k in kinds])))
 
 
 @query("b11_reindex_scoring", uses="features", sql="""

@@ -14,6 +14,7 @@ from ..operators.ranking import risk_list, top_drivers
 from ..operators.splits import hash_bucket, month_roles, split_flag
 from ..plans.person_table import add_dose_scores
 from ..session import fresh_path
+from ..sources.layers import versioned
 from ..sources.tables import layer, read_table
 from .checks import target_rows
 from .registry import query
@@ -27,17 +28,24 @@ KEYS = ["visit_no"]
 SETTINGS = T.TrainSettings(trees=10, depth=4, step=0.2, folds=2)
 
 
-_GOLD: dict = {}
+_KNOWN: dict = {}
+
+
+def versioned_path(t, name: str, made_from: str, write) -> str:
+    """The layer of the present source files; looked up once per session and version."""
+    key = (t.spark.sparkContext.applicationId, name, t.version("orders", "customer"), made_from)
+    if key not in _KNOWN:
+        _KNOWN[key] = versioned(t.spark, name, f"{key[2]} {made_from}", write)
+    return _KNOWN[key]
 
 
 def visit_rows(t):
-    """The feature layer the model stages read, written once per session and table folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _GOLD:
+    """The feature layer the model stages read, written once per version of its sources."""
+    def write(path):
         rows = add_dose_scores(target_rows(t), as_of()).select(*KEYS, "month_clean", LABEL, *NUMERIC, *BINARY, *CATEGORICAL)
-        _GOLD[key] = fresh_path(t.spark, "model_rows") + ".parquet"
-        layer(rows, _GOLD[key])
-    return read_table(t.spark, _GOLD[key])
+        layer(rows, path)
+
+    return read_table(t.spark, versioned_path(t, "model_rows", "", write))
 
 
 def parts(t):
@@ -46,18 +54,19 @@ def parts(t):
     return rows.filter(~test), rows.filter(test)
 
 
-_FITTED: dict = {}
+_LOADED: dict = {}
 
 
 def fitted(t) -> tuple[T.RiskModel, str]:
-    """One trained and saved model per session and table folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _FITTED:
-        model = T.train(parts(t)[0], LABEL, KEYS, NUMERIC, BINARY, CATEGORICAL, SETTINGS)
-        folder = fresh_path(t.spark, "model")
-        model.save(t.spark, folder)
-        _FITTED[key] = (model, folder)
-    return _FITTED[key]
+    """One trained and saved model per version of the sources and settings."""
+    def write(path):
+        T.train(parts(t)[0], LABEL, KEYS, NUMERIC, BINARY, CATEGORICAL, SETTINGS).save(t.spark, path)
+
+    folder = versioned_path(t, "model", repr(SETTINGS), write)
+    key = (t.spark.sparkContext.applicationId, folder)
+    if key not in _LOADED:
+        _LOADED[key] = T.RiskModel.load(t.spark, folder)
+    return _LOADED[key], folder
 
 
 @query("i03_imputation_values", uses="features", sql="""
@@ -193,17 +202,15 @@ def _(t):
     return risk_list(kept, 0.0, tiebreak=KEYS).select("visit_no", "predicted_risk", "risk_tier")
 
 
-_EXPLAINED: dict = {}
-
-
 def explained(t):
-    """Every visit scored and attributed, written once per session and table folder."""
+    """Every visit scored and attributed, written once per model."""
     model, folder = fitted(t)
-    if folder not in _EXPLAINED:
+
+    def write(path):
         scored = model.score(visit_rows(t)).select(*KEYS, "risk_score", "risk_tier", "features")
-        _EXPLAINED[folder] = fresh_path(t.spark, "explained") + ".parquet"
-        layer(X.attributions(scored, X.read_leaves(t.spark, f"{folder}/trees")), _EXPLAINED[folder])
-    return read_table(t.spark, _EXPLAINED[folder]), model
+        layer(X.attributions(scored, X.read_leaves(t.spark, f"{folder}/trees")), path)
+
+    return read_table(t.spark, versioned_path(t, "explained", repr(SETTINGS), write)), model
 
 
 @query("i29_attributions_add_up", uses="iz_latest", sql="SELECT count(*) AS n, count(*) AS n_adding_up FROM iz_latest")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
+from ..sources.layers import source_version
 from . import standins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,12 +20,19 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._seen: dict[str, DataFrame] = {}
+        self._versions: dict[tuple, str] = {}
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._seen:
             self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._seen[name]
 
+    def version(self, *names: str) -> str:
+        """The state of the files of some driver tables, listed once per handle."""
+        if names not in self._versions:
+            self._versions[names] = source_version(self.spark, [f"{self.folder}/{n}.parquet" for n in names])
+        return self._versions[names]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
