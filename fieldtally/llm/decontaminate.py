@@ -5,11 +5,15 @@ Documents that share a run of ``TILE`` tokens with the block (a seed) come back
 tokens; Spark joins their seeds to the items' seeds, and only pairs that could reach the
 threshold are tiled: running Karp-Rabin marks the longest common runs that do not overlap,
 shorter and shorter ones, in any order. The share of an item's tokens under tiles decides,
-so passages that were cut up and reordered are caught as well.
+so passages that were cut up and reordered are caught as well. Items too short for that are
+their own only seed and tile: they are found where they stand as a whole.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,16 +23,26 @@ from .common import ready, table, texts, written
 from .shingles import hashed_words, windows
 
 TILE = 5  # the least tokens of a tile
-SHORTEST = 8  # items with fewer tokens say too little and match nothing
+SHORT = 8  # items with fewer tokens are matched whole
+PAIRS = 1 << 20  # pairs of equal windows looked at at once
 BLOCK_BYTES = 16 << 20  # of benchmark texts that go to every task at once
-# Tokens are runs of ASCII letters and digits and of non-ASCII characters.
+# Tokens are runs of ASCII letters and digits and of non-ASCII characters; a character of a
+# script without spaces (Thai, Lao, Burmese, Khmer, kana, ideographs) is a token of its own.
 _SPACED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_UNSPACED = re.compile(
+    rb"(?:\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f]|\xe2[\xba-\xbf]|[\xe3-\xe9][\x80-\xbf]|\xef[\xa4-\xab])[\x80-\xbf]|\xf0[\xa0-\xaf][\x80-\xbf]{2}")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def tokens(text: bytes) -> np.ndarray:
-    return hashed_words(text.lower().translate(_SPACED).split())
+    spaced = text.lower().translate(_SPACED)
+    return hashed_words((spaced if text.isascii() else _UNSPACED.sub(rb" \g<0> ", spaced)).split())
+
+
+def width(item_tokens: int) -> int:
+    """Tokens of an item's seeds, and of its least tile."""
+    return item_tokens if item_tokens < SHORT else TILE
 
 
 class _Rolling:
@@ -50,39 +64,69 @@ def _free(marked: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(sums[length:] == sums[:-length])
 
 
+def _run_lengths(item, text, in_item, in_text, i: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """From each pair of places on, the equal unmarked tokens."""
+    n, live = np.zeros(len(i), np.int64), np.arange(len(i))
+    while len(live) > 64:
+        a, b = i[live] + n[live], t[live] + n[live]
+        inside = (a < len(item)) & (b < len(text))
+        live, a, b = live[inside], a[inside], b[inside]
+        live = live[(item[a] == text[b]) & ~in_item[a] & ~in_text[b]]
+        n[live] += 1
+    for x in live:
+        a, b = i[x] + n[x], t[x] + n[x]
+        most = min(len(item) - a, len(text) - b)
+        stop = (item[a:a + most] != text[b:b + most]) | in_item[a:a + most] | in_text[b:b + most]
+        n[x] += np.argmax(stop) if stop.any() else most
+    return n
+
+
+def _matches(item, text, in_item, in_text, rolling_item, rolling_text, length: int) -> list[tuple[int, int, int]]:
+    """(-n, i, t) of the unmarked common runs of ``length`` or more that no longer one contains."""
+    here, there = _free(in_item, length), _free(in_text, length)
+    if not len(here) or not len(there):
+        return []
+    a, b = rolling_item.windows(length)[here], rolling_text.windows(length)[there]
+    order = np.argsort(a, kind="stable")
+    lo, hi = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
+    there, lo, n = there[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    found, before = [], np.concatenate([[0], np.cumsum(n)])
+    cuts = np.unique(np.searchsorted(before, np.arange(0, before[-1], PAIRS), "right") - 1)
+    for x, y in zip(cuts, [*cuts[1:], len(n)]):
+        at = np.arange(before[x], before[y]) - np.repeat(before[x:y], n[x:y]) + np.repeat(lo[x:y], n[x:y])
+        i, t = here[order[at]], np.repeat(there[x:y], n[x:y])
+        inner = (i > 0) & (t > 0)
+        inner &= (item[i - 1] == text[t - 1]) & ~in_item[i - 1] & ~in_text[t - 1]
+        i, t = i[~inner], t[~inner]  # others are parts of longer runs that start earlier
+        runs = _run_lengths(item, text, in_item, in_text, i, t)
+        found += [(-k, p, q) for k, p, q in zip(runs.tolist(), i.tolist(), t.tolist()) if k >= length]
+    return found
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
-    """Tiles (start in item, start in text, length), longest first, none overlapping
-    another in either; no further common run of ``least`` unmarked tokens remains."""
+    """Tiles (start in item, start in text, length), always the longest common run of
+    unmarked tokens next (the earliest of equals), until none of ``least`` tokens is left."""
     found: list[tuple[int, int, int]] = []
-    if min(len(item), len(text)) < least:
+    if min(len(item), len(text)) < least or not least:
         return found
     in_item, in_text = np.zeros(len(item), bool), np.zeros(len(text), bool)
-    rolling_item, rolling_text = _Rolling(item), _Rolling(text)
+    rolling = _Rolling(item), _Rolling(text)
     length = max(least, min(len(item), len(text)))
     while True:
-        here, there = _free(in_item, length), _free(in_text, length)
-        matches = []
-        if len(here) and len(there):
-            a, b = rolling_item.windows(length)[here], rolling_text.windows(length)[there]
-            at = np.flatnonzero(np.isin(b, a))
-            order = np.argsort(a, kind="stable")
-            lo, hi = np.searchsorted(a[order], b[at], "left"), np.searchsorted(a[order], b[at], "right")
-            for t, x, y in zip(there[at], lo, hi):
-                for i in here[order[x:y]]:
-                    if i and t and item[i - 1] == text[t - 1] and not in_item[i - 1] and not in_text[t - 1]:
-                        continue  # part of a longer run that starts earlier
-                    n = 0
-                    while i + n < len(item) and t + n < len(text) and item[i + n] == text[t + n] and not in_item[i + n] and not in_text[t + n]:
-                        n += 1
-                    if n >= length:
-                        matches.append((-n, int(i), int(t)))
-        marked = False
-        for n, i, t in sorted(matches):
-            if not in_item[i:i - n].any() and not in_text[t:t - n].any():
-                in_item[i:i - n] = in_text[t:t - n] = marked = True
+        heap = _matches(item, text, in_item, in_text, *rolling, length)
+        heapq.heapify(heap)
+        while heap:
+            n, i, t = heapq.heappop(heap)
+            marked = in_item[i:i - n] | in_text[t:t - n]
+            if not marked.any():
+                in_item[i:i - n] = in_text[t:t - n] = True
                 found.append((i, t, -n))
-        if marked:
-            continue  # what is left of runs that were cut short
+                continue
+            # What is left of a run that was cut short takes its turn again.
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], marked, [True]]).astype(np.int8)))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if b - a >= length:
+                    heapq.heappush(heap, (a - b, i + a, t + a))
         if length == least:
             return found
         length = max(least, length // 2)
@@ -94,15 +138,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, i
     ``coverage``: doc_id, item_id, item_tokens, covered_tokens, n_tiles, longest_tile,
     coverage, h (a hash of the row's id and text).
 
-    Null or empty texts hold nothing; items that are null or have fewer than 8 tokens match
-    nothing. Null ids stay null; repeated rows and items each give their rows; either
+    Null or empty texts hold nothing, and nothing holds an item without tokens. Items of fewer
+    than 8 tokens are held where they stand whole and in order. Null ids stay null; repeated rows and items each give their rows; either
     table empty gives no row; further columns are ignored.
     """
     spark = ready(docs.sparkSession)
     src = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[id_col], docs[text_col]).alias("h"), docs[text_col].alias("text")).where("text is not null")
     items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].alias("text")).where("text is not null")
     items = written(items.withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # An item weighs more than its text, so that very many short ones are blocks as well.
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     found = None
     for block in range(blocks):
@@ -115,8 +160,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, i
 def _tiled(spark: SparkSession, src: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     # A block's items, bounded by BLOCK_BYTES of text.
     of = {r["item"]: tokens(r["text"].encode()) for r in items.select("item", "text").collect()}
-    of = {k: v for k, v in of.items() if len(v) >= SHORTEST}
-    seed_rows = [(int(s), k, len(v)) for k, v in of.items() for s in np.unique(windows(v, TILE)).view(np.int64)]
+    of = {k: v for k, v in of.items() if len(v)}
+    seed_rows = [(int(s), k, len(v), width(len(v))) for k, v in of.items() for s in np.unique(windows(v, width(len(v)))).view(np.int64)]
+    widths = sorted({w for *_, w in seed_rows})
     seeds = np.unique(np.array([s for s, *_ in seed_rows], np.int64)) if seed_rows else np.empty(0, np.int64)
     shared, known = spark.sparkContext.broadcast(of), spark.sparkContext.broadcast(seeds)
 
@@ -126,7 +172,7 @@ def _tiled(spark: SparkSession, src: DataFrame, items: DataFrame, coverage: floa
             rows, words, hits = [], [], []
             for i, text in enumerate(texts(batch) if len(at_hand) else ()):
                 found = tokens(text)
-                runs = windows(found, TILE).view(np.int64)
+                runs = np.concatenate([windows(found, w) for w in widths]).view(np.int64)
                 at = np.minimum(np.searchsorted(at_hand, runs), len(at_hand) - 1)
                 hit = np.unique(runs[at_hand[at] == runs])
                 if len(hit):
@@ -140,13 +186,13 @@ def _tiled(spark: SparkSession, src: DataFrame, items: DataFrame, coverage: floa
     kind = src.schema["doc_id"].dataType.simpleString()
     near = src.mapInArrow(seeded, f"doc_id {kind}, h long, words array<long>, seeds array<long>")
     near = written(near.withColumn("row", F.monotonically_increasing_id()), "benchmark-near")
-    of_items = spark.createDataFrame(seed_rows, "seed long, item long, item_tokens int")
+    of_items = spark.createDataFrame(seed_rows, "seed long, item long, item_tokens int, width int")
     pairs = near.select("row", F.explode("seeds").alias("seed")).join(F.broadcast(of_items), "seed")  # bounded with the block
-    pairs = pairs.groupBy("row", "item", "item_tokens").agg(F.count(F.lit(1)).alias("n"))
-    # Each seed covers at most TILE tokens; repeated runs of an item count once.
-    repeats = {k: len(v) - TILE + 1 - len(np.unique(windows(v, TILE))) for k, v in of.items()}
+    pairs = pairs.groupBy("row", "item", "item_tokens", "width").agg(F.count(F.lit(1)).alias("n"))
+    # Each seed covers at most its width; repeated runs of an item count once.
+    repeats = {k: len(v) - width(len(v)) + 1 - len(np.unique(windows(v, width(len(v))))) for k, v in of.items()}
     extra = spark.createDataFrame(list(repeats.items()), "item long, extra int")
-    pairs = pairs.join(F.broadcast(extra), "item").where((F.col("n") + F.col("extra")) * TILE >= F.lit(coverage) * F.col("item_tokens"))
+    pairs = pairs.join(F.broadcast(extra), "item").where((F.col("n") + F.col("extra")) * F.col("width") >= F.lit(coverage) * F.col("item_tokens"))
     work = near.select("doc_id", "h", "row", "words").join(pairs.select("row", "item"), "row").select("doc_id", "h", "item", "words")
 
     def tile(batches):
@@ -154,7 +200,8 @@ def _tiled(spark: SparkSession, src: DataFrame, items: DataFrame, coverage: floa
             items_here, words = batch.column(2).to_pylist(), batch.column(3)
             out = []
             for i, k in enumerate(items_here):
-                item, laid = shared.value[k], tiles(shared.value[k], words[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                item = shared.value[k]
+                laid = tiles(item, words[i].values.to_numpy(zero_copy_only=False).view(np.uint64), width(len(item)))
                 out.append((len(item), sum(n for *_, n in laid), len(laid), max((n for *_, n in laid), default=0)))
             numbers = [pa.array([r[c] for r in out], pa.int64()) for c in range(4)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), *numbers], ["doc_id", "h", "item", "item_tokens", "covered_tokens", "n_tiles", "longest_tile"])
@@ -166,9 +213,11 @@ def _tiled(spark: SparkSession, src: DataFrame, items: DataFrame, coverage: floa
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, coverage, id_col, text_col).select(F.col("h").alias("_bad")).distinct()
-    return docs.join(written(bad, "benchmark-bad"), F.xxhash64(docs[id_col], docs[text_col]) == F.col("_bad"), "left_anti")
+    """The rows of ``docs``, with all their columns, that hold no benchmark item. Null and
+    empty texts hold none and stay; repeated rows stay or go together."""
+    bad = contaminated(docs, benchmark, coverage, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("h").alias("_bad")).distinct()
+    same = (F.xxhash64(docs[id_col], docs[text_col]) == F.col("_bad")) & docs[id_col].eqNullSafe(F.col("_id"))
+    return docs.join(written(bad, "benchmark-bad"), same, "left_anti")
 
 
 def op2_greedy_tiling(spark: SparkSession, folder: str) -> DataFrame:
