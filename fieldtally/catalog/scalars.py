@@ -13,6 +13,7 @@ from ..functions import numbers as N
 from ..functions import risk as R
 from ..functions import schedule as S
 from ..functions import text as X
+from ..operators.ranking import top_reasons
 from ..plans import cleaners as C
 from ..plans.person_months import silver_population, silver_registry, silver_supervision, silver_visits
 from ..plans.person_table import add_dose_scores, add_target
@@ -369,6 +370,26 @@ def _(t):
                     F.when(F.col("effect") > 0, "INCREASES").otherwise("DECREASES").alias("direction"))
 
 
+_EFFECTS = [f"((event_id * {k + 3}) % 101 - 50) / 128.0e0" for k in range(len(_FEATURE_NAMES))]
+
+
+@query("h38_top_reasons", sql=f"""
+  WITH e AS (SELECT event_id, unnest([{', '.join(_EFFECTS)}]) AS v, unnest([{', '.join(f"'{n}'" for n in _FEATURE_NAMES)}]) AS feature,
+      unnest(range({len(_FEATURE_NAMES)})) AS i FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(v) DESC, i) AS k FROM e)
+  SELECT event_id, CAST(k AS INT) AS rank, feature, round(v, 4) AS shap, CASE WHEN v > 0 THEN 'INCREASES' ELSE 'DECREASES' END AS direction,
+    CASE feature WHEN 'vax_completeness_score' THEN 'Vaccine series completion below age expectation'
+      WHEN 'patient_age_in_months' THEN 'Child''s age places them in a high-risk vaccine window' WHEN 'due_count_clean' THEN 'Multiple vaccine doses currently outstanding'
+      WHEN 'months_since_reported' THEN 'Extended gap since last CHW contact' WHEN 'chw_supervision_frequency' THEN 'CHW has had limited supervision support recently'
+      WHEN 'maternal_anc_visits' THEN 'Mother attended fewer ANC visits during pregnancy' WHEN 'chw_workload_u2' THEN 'CHW carries a high under-2 caseload in this area'
+      ELSE 'Feature: ' || feature END AS reason
+  FROM r WHERE k <= 5""")
+def _(t):
+    """The five leading effects of every row, with direction and reason."""
+    x = t.events.select("event_id", F.expr(f"array({', '.join(_EFFECTS)})").alias("effects"))
+    return top_reasons(x, ["event_id"], "effects", _FEATURE_NAMES)
+
+
 @query("h39_population_present", uses="population", sql="""
   SELECT c_custkey, CASE WHEN u2_pop >= 0 OR u5_pop >= 0 OR wra_pop >= 0 THEN 1 ELSE 0 END AS population_context_valid_flag FROM population""")
 def _(t):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.risk import list_tier, reason_codes, score_tier
+from ..functions.risk import driver_reason, list_tier, reason_codes, score_tier
 from .latest import top_row
 
 
@@ -50,3 +50,13 @@ def top_drivers(effects: str, values: str, names, n: int = 3):
         F.element_at(F.col(values), i + 1).alias("feature_value"),
         F.element_at(F.array(*[F.lit(x) for x in names]), i + 1).alias("feature")))
     return F.slice(F.array_sort(items), 1, n)
+
+
+def top_reasons(df: DataFrame, keys, effects: str, names, n: int = 5) -> DataFrame:
+    """One row per row and leading effect: rank, feature, effect rounded to 4 digits, whether
+    it increases or decreases the score, and the reason in words."""
+    ranked = df.select(*keys, F.posexplode(top_drivers(effects, effects, names, n)).alias("i", "d"))
+    effect = F.col("d.shap_value")
+    return ranked.select(
+        *keys, (F.col("i") + 1).alias("rank"), F.col("d.feature").alias("feature"), F.round(effect, 4).alias("shap"),
+        F.when(effect > 0, "INCREASES").otherwise("DECREASES").alias("direction"), driver_reason(F.col("d.feature")).alias("reason"))
