@@ -5,13 +5,15 @@ range-sorted by length in Spark and ranked within their length. Pieces of one le
 interchangeable, and so are sequences with one gap, so the sweeps run over runs: at most
 ``capacity`` lengths of pieces, and gaps held as contiguous sequence numbers. In a round,
 all pieces of a size band look for their successor gap (the smallest that holds them), one
-piece to a gap, conflicts going by rank; gaps shrink and the round repeats. The matched
-runs, bounded by the capacity and not by the data, are joined back to the ranked pieces.
+piece to a gap, conflicts going by rank; gaps shrink and the round repeats. The rounds run
+on the driver over those counts, which the capacity bounds and not the data; the matched
+runs are joined back to the ranked pieces.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections import defaultdict
@@ -21,51 +23,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, only, ready, table, texts, written
+from .common import only, ready, table, texts, written
 from .tokens import tokenizer, vocabulary
 
 # A space followed by more white space: there the tokenizer's pre-tokens may span words.
 UNEVEN = re.compile(rb" (?:[\s]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80)| \Z")
-# Two-byte and longer characters beyond these blocks go to the tokenizer itself.
-LATIN = frozenset(map(chr, range(0x250)))
+# Characters from U+0250 on, and what may begin a special string, go to the tokenizer itself.
+BEYOND = re.compile(rb"[\xca-\xff]|\xc9[\x90-\xbf]|<\|")
+SPACED = re.compile(rb"^[^ ]+| [^ ]*")
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(json_path: str, ranks_path: str | None):
     """text bytes -> ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's.
 
-    Words are encoded with the space before them and remembered: every pre-token of the
-    byte-level pattern starts at the last space before a word, so the cut is exact where a
-    space is followed by a word. Other texts are encoded whole.
+    With ranks, texts of characters for which both libraries cut alike go to the faster one
+    as they are. In other texts only the words with further characters go to the tokenizer:
+    every pre-token of the byte-level pattern starts at the last space before a word, so the
+    cut is exact where a space is followed by a word. Uneven ones go to it whole.
     """
 
-    def library(text: str) -> bytes:
-        return np.array(tokenizer(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def library(data: bytes) -> bytes:
+        ids = tokenizer(json_path).encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
 
-    fast = None
-    if ranks_path:
-        import base64
+    if not ranks_path:
+        return library
+    import base64
 
-        import public_tokenizers
-        import tiktoken
+    import public_tokenizers
+    import tiktoken
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def whole(data: bytes) -> bytes:
-        text = data.decode("utf-8", "replace")
-        if fast is None or "<|" in text or not LATIN.issuperset(text):
-            return library(text)
-        return np.array(fast.encode_ordinary(text), dtype="<u4").tobytes()
-
-    words = Remembered(lambda word: whole(b" " + word))
+    def plain(data: bytes) -> bytes:
+        return np.array(fast.encode_ordinary(data.decode("utf-8", "replace")), dtype="<u4").tobytes()
 
     def encode(data: bytes) -> bytes:
+        if not BEYOND.search(data):
+            return plain(data)
         if UNEVEN.search(data):
-            return whole(data)
-        first, *rest = data.split(b" ")
-        return whole(first) + b"".join(map(words.__getitem__, rest))
+            return library(data)
+        runs = itertools.groupby(SPACED.findall(data), lambda word: BEYOND.search(word) is None)
+        return b"".join((plain if even else library)(b"".join(words)) for even, words in runs)
 
     return encode
 
