@@ -220,7 +220,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     found = src.select("h", "text").join(wanted, "h").select("cid", "text")
 
     def full(batches):
+        seen = set()  # rows that repeat id and text are one class: a set of it is enough for a task
         for batch in batches:
+            cids = batch.column(0).to_pylist()
+            new = [i for i, cid in enumerate(cids) if not (cid in seen or seen.add(cid))]
+            batch = batch.take(pa.array(new, pa.int32()))
             sets = [shingle_set(text, width).view(np.int64) for text in texts(batch)]
             offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             yield pa.RecordBatch.from_arrays(

@@ -8,7 +8,7 @@ that hold it. Patterns of high confidence then mark identifiers that no base pat
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ready, table, written
@@ -26,8 +26,10 @@ PATTERNS = {
 # What a text must hold for a kind to be looked for at all.
 NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 BYTE_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-# An identifier: a word (between white space) that holds a digit or an at sign.
-WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# An identifier: a word (between white space) that holds a digit or an at sign, with the
+# words of digits only that follow it, each after one space ("555 123 4567").
+WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[0-9().-]*+(?<=[0-9().-])(?=[\x20\x09-\x0D]|$))*+"
+CONTEXT = 200  # code points before an identifier in which its two words are looked for
 ROUNDS = 3
 SUPPORT = 3.0  # trusted instances that a pattern needs
 TRUST = 0.6  # score from which a pattern, or an instance, is trusted
@@ -39,17 +41,21 @@ def _places(text: Column, pattern: str) -> tuple[Column, Column]:
 
 
 def _starts(found: str, pieces: str) -> Column:
-    """Structs (start, end, match, before) in code points."""
+    """Structs (start, end, match, before) in code points; ``before`` is the end of all the
+    text before the match, earlier matches too."""
     steps = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
     none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"), F.right(x["p"], F.lit(60)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+        before = F.right(F.concat(state["tail"], F.right(x["p"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"), before.alias("before"))
+        tail = F.right(F.concat(before, F.right(x["m"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
+    return F.aggregate(steps, start, step, lambda s: s["out"])
 
 
 def _luhn(digits: Column) -> Column:
@@ -98,14 +104,19 @@ def _occurrences(found: DataFrame) -> DataFrame:
     """(row, start, end, rank of the base entity or null, instance, pattern): each base
     entity, and each other identifier, with each of its two patterns."""
     entities = found.select("row", F.explode("entities").alias("e")).select("row", "e.start", "e.end", "e.rank", F.col("e.match").alias("instance"), "e.before")
-    other = found.where(F.size("words") > 0).select("row", "base", F.explode("words").alias("w"))
+    other = found.where(F.size("words") > 0).select("row", F.explode("words").alias("w"))
     edge = r"[^\p{L}\p{N}+@]"  # quotes, brackets and the like around an identifier
     inner = F.regexp_replace("w.match", rf"^{edge}++", "")
-    other = other.select("row", "base", (F.col("w.end") - F.length(inner)).alias("start"), F.regexp_replace(inner, rf"(?<!{edge}){edge}++$", "").alias("instance"), "w.before")
+    other = other.select("row", (F.col("w.end") - F.length(inner)).alias("start"), F.regexp_replace(inner, rf"(?<!{edge}){edge}++$", "").alias("instance"), "w.before")
     other = other.withColumn("end", F.col("start") + F.length("instance"))
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    other = other.where((F.length("instance") >= 5) & F.col("instance").rlike("[0-9].*[0-9]|@") & free)
-    both = entities.union(other.select("row", "start", "end", F.lit(None).cast("int"), "instance", "before"))
+    other = other.where((F.length("instance") >= 5) & F.col("instance").rlike("[0-9].*[0-9]|@"))
+    both = entities.union(other.select("row", "start", "end", F.lit(None).cast("int").alias("rank"), "instance", "before"))
+    # A sweep along each text: no base entity reaches into the identifier or starts in it.
+    along, is_base = Window.partitionBy("row").orderBy("start"), F.col("rank").isNotNull()
+    reach = F.max(F.when(is_base, F.col("end"))).over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.min(F.when(is_base, F.col("start"))).over(along.rangeBetween(1, Window.unboundedFollowing))
+    both = both.withColumn("reach", reach).withColumn("following", following)
+    both = both.where(is_base | (F.coalesce("reach", "start") <= F.col("start")) & (F.coalesce("following", "end") >= F.col("end"))).drop("reach", "following")
 
     left = F.split(F.trim(F.lower(F.regexp_replace("before", r"\s+", " "))), " ")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("instance", "[0-9]", "9"), r"\p{L}+", "a"), "9{3,}", "9+")
@@ -138,7 +149,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A null or empty text has no spans (an empty string, and its hash). Null ids and
     repeated rows are searched each; an empty table gives no row; further columns are
-    ignored. Spans of the method never overlap base ones.
+    ignored. Spans of the method never overlap base ones. Out of its reach are identifiers of
+    fewer than 5 characters, without a digit pair or an at sign, at a text's begin, and of
+    words other than digits; a context word is cut where it is longer than ``CONTEXT``.
     """
     ready(docs.sparkSession)
     src = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("h"), F.monotonically_increasing_id().alias("row"))
@@ -164,9 +177,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` with all their columns; each span of the text gives way to its
-    kind in brackets, overlapping spans to the first one's. ``length_col`` follows the text."""
-    spans = find_pii(docs, id_col, text_col).where(F.size("all") > 0).select(F.col("h").alias("_h"), F.col("all").alias("_spans")).dropDuplicates(["_h"])
-    joined = docs.join(written(spans, "pii-spans"), F.xxhash64(docs[id_col], docs[text_col]) == F.col("_h"), "left")
+    kind in brackets, overlapping spans to the first one's. ``length_col`` follows the text.
+    Null and empty texts stay as they are; repeated rows are redacted alike."""
+    spans = find_pii(docs, id_col, text_col).where(F.size("all") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("all").alias("_spans"))
+    same = (F.xxhash64(docs[id_col], docs[text_col]) == F.col("_h")) & docs[id_col].eqNullSafe(F.col("_id"))
+    joined = docs.join(written(spans.dropDuplicates(["_id", "_h"]), "pii-spans"), same, "left")
     text, names = F.col(text_col), F.array(*map(F.lit, KINDS))
 
     def step(state: Column, s: Column) -> Column:

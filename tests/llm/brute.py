@@ -85,19 +85,36 @@ def base_scores(rows: list[tuple]) -> list[tuple]:
     return [(d, out(d), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t))) for d, t in rows]
 
 
-def katz_scores(rows: list[tuple]) -> list[tuple]:
-    """(doc_id, number of tokens, score) by backoff from bigrams of all words to unigrams."""
-    def tokens(text):
-        return ["<s>", *WORD.findall(ascii_lower(text or "")), None]
-
-    def out(doc_id):
-        return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
+def tiles(a: list, b: list, least: int) -> list[tuple[int, int, int]]:
+    """The longest common run of unmarked tokens, the earliest of equals, again and again."""
+    used_a, used_b, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for t in range(len(b)):
+                n = 0
+                while i + n < len(a) and t + n < len(b) and a[i + n] == b[t + n] and not used_a[i + n] and not used_b[t + n]:
+                    n += 1
+                best = min(best, (-n, i, t)) if n else best
+        n, i, t = -best[0], best[1], best[2]
+        if n < max(least, 1):
+            return out
+        used_a[i:i + n], used_b[t:t + n] = [True] * n, [True] * n
+        out.append((i, t, n))
+
+
+def katz_tokens(text: str | None) -> list:
+    return ["<s>", *WORD.findall(ascii_lower(text or "")), None]
+
+
+def katz_model(texts: list) -> tuple:
+    """(probability of a word after another, unigram probabilities) by backoff from bigrams of all words."""
 
     def kept(counts):
         d = discounts(Counter(counts.values()))
         return {x: d[min(n, 6)] * n for x, n in counts.items()}
 
-    learnt = [tokens(t) for d, t in rows if not out(d)]
+    learnt = [katz_tokens(t) for t in texts]
     words, pairs = Counter(w for t in learnt for w in t[1:]), Counter(p for t in learnt for p in zip(t, t[1:]))
     total, kept_words, kept_pairs = sum(words.values()), kept(words), kept(pairs)
     freed = 1 - sum(kept_words.values()) / total
@@ -115,7 +132,13 @@ def katz_scores(rows: list[tuple]) -> list[tuple]:
         share = max(1 - left[h] / n[h], 1 / (n[h] + 1))
         return kept_pairs[h, w] * (1 - share) / left[h] if (h, w) in pairs else share / free[h] * p.get(w, unknown)
 
-    return [(d, len(x) - 1, sum(math.log10(one(*q)) for q in zip(x, x[1:]))) for d, t in rows for x in [tokens(t)]]
+    return one, p
+
+
+def katz_scores(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, number of tokens, score)"""
+    one, _ = katz_model([t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2])
+    return [(d, len(x) - 1, sum(math.log10(one(*q)) for q in zip(x, x[1:]))) for d, t in rows for x in [katz_tokens(t)]]
 
 
 def licences(text: str | None) -> tuple:
@@ -138,6 +161,18 @@ def page(url: str | None) -> tuple:
     return host, path, best[0] or None, best[1]
 
 
+def best_fit(counts: dict, capacity: int) -> int:
+    """Sequences when each piece, the longest first, goes to the smallest gap that holds it."""
+    gaps: list[int] = []
+    for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        fit = min((g for g in gaps if g >= length), default=None)
+        if fit is None:
+            gaps.append(capacity - length)
+        else:
+            gaps[gaps.index(fit)] -= length
+    return len(gaps)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):

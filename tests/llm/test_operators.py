@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fieldtally.llm import katz, neardup, packing
+from fieldtally.llm import bigrams, decontaminate, katz, neardup, packing
 from fieldtally.llm.decontaminate import contaminated, tiles, tokens, without_contaminated
 from fieldtally.llm.katz import score_held_out
 from fieldtally.llm.licences import scan_licences
@@ -118,6 +119,17 @@ def test_near_duplicates_large_families(spark, monkeypatch):
     assert by_row(got, ("doc_id", "n_shingles", "component_id", "kept")) == Counter(brute.near(rows, 85))
 
 
+def test_repeated_rows_give_few_sets(spark, monkeypatch):
+    kept = {}
+    real = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    text = prose(8, 60)
+    rows = [(1, text)] * 500 + [(2, text + " one more word")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert by_row(got, ("doc_id", "component_id")) == Counter({(1, 1): 500, (2, 1): 1})
+    assert kept["near-sets"].count() <= 2 * 2
+
+
 def test_tiling_catches_reordered_and_leaves_short(spark, awkward, empty):
     bench = spark.createDataFrame([(1, PASSAGE, "x"), (2, None, "x"), (3, "too short", "x"), (4, PASSAGE, "y"), (5, prose(77, 40), "z")], "item_id long, text string, row string")
     got = {(r.doc_id, r.item_id): r for r in contaminated(awkward, bench).collect()}
@@ -137,18 +149,54 @@ def test_benchmark_in_blocks_is_the_same(spark, awkward, monkeypatch):
     assert by_row(contaminated(awkward, bench), ("doc_id", "item_id", "covered_tokens")) == whole
 
 
+@pytest.mark.parametrize("pairs", [1, 1 << 20])
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=60))
-def test_tiles_are_greedy_and_complete(a, b):
-    item, text = tokens(" ".join(a).encode()), tokens(" ".join(b).encode())
-    laid = tiles(item, text, 3)
-    left_a, left_b = list(a), list(b)
-    for i, t, n in laid:
-        assert n >= 3 and a[i:i + n] == b[t:t + n]
-        assert "#" not in left_a[i:i + n] and "*" not in left_b[t:t + n]
-        left_a[i:i + n], left_b[t:t + n] = ["#"] * n, ["*"] * n
-    runs = {tuple(left_a[i:i + 3]) for i in range(len(a) - 2)} & {tuple(left_b[i:i + 3]) for i in range(len(b) - 2)}
-    assert not {x for x in runs if "#" not in x and "*" not in x}
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=60), st.integers(1, 5))
+def test_tiles_against_brute_force(pairs, a, b, least):
+    held, decontaminate.PAIRS = decontaminate.PAIRS, pairs
+    try:
+        got = tiles(tokens(" ".join(a).encode()), tokens(" ".join(b).encode()), least)
+    finally:
+        decontaminate.PAIRS = held
+    assert got == brute.tiles(a, b, least)
+
+
+def test_tiles_of_one_repeated_token():
+    """A long text and item of one token: all places are equal, no pair of them is walked one by one."""
+    item, text = tokens(b"na " * 2_000), tokens(b"na " * 100_000)
+    got = tiles(item, text)
+    assert got == [(0, 0, 2_000)]
+
+
+def test_coverage_against_brute_force(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(r.choices(words, k=r.choice([0, 1, 3, 5, 7, 8, 12, 25])))) for i in range(40)] + [(90, None), (91, "..."), (92, "w1 w2 w3")]
+    docs = []
+    for i in range(60):
+        parts = [" ".join(r.choices(words, k=r.randint(0, 40)))]
+        for _, text in r.sample(items[:40], 3):
+            cut = r.randint(0, len(text))
+            parts += r.sample([text[:cut], text[cut:]], 2)
+        docs.append((i, " ".join(parts)))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    want = Counter()
+    for d, text in docs:
+        for k, item in items:
+            said = [w for w in (item or "").replace(".", " ").split()]
+            laid = brute.tiles(said, text.split(), len(said) if len(said) < 8 else 5) if said else []
+            covered = sum(n for *_, n in laid)
+            if said and 2 * covered >= len(said):
+                want[d, k, len(said), covered, len(laid)] += 1
+    assert by_row(got, ("doc_id", "item_id", "item_tokens", "covered_tokens", "n_tiles")) == want and want
+
+
+def test_items_of_scripts_without_spaces(spark):
+    item = "\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3042\u308a\u4eba\u53e3\u306f\u591a\u3044"
+    docs = [(1, f"\u524d\u6587{item}\u5f8c\u6587"), (2, item[8:] + "\u3000\u4ed6\u306e\u6587\u7ae0 " + item[:8]), (3, "\u6771\u4eac \u306f"), (4, "\u65e5\u672c\u306e\u6771\u4eac")]
+    bench = spark.createDataFrame([(1, item), (2, "\u6771\u4eac")], "item_id long, text string")
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (1, 2), (2, 2), (3, 2), (4, 2)}
 
 
 def test_scores_against_brute_force(awkward, empty):
@@ -162,25 +210,23 @@ def test_scores_against_brute_force(awkward, empty):
     assert score_held_out(empty).count() == 0
 
 
-def test_katz_sums_to_one(spark, awkward, monkeypatch):
-    """Over the vocabulary, the class of rare words and the unknown, after each history."""
-    monkeypatch.setattr(katz, "VOCABULARY", 60)
-    docs = awkward.where("doc_id >= 100").select("doc_id", "text")
-    model, words, bigrams, _ = katz.train(docs)
-    counts = defaultdict(Counter)
-    for row in bigrams.collect():
-        for pair, n in zip(np.array(row.pairs, np.int32).view(np.uint32).astype(int), row.n):
-            counts[pair >> 16][pair & 0xFFFF] += n
-    classes = np.array([*range(60), katz.RARE])
-    assert len(counts) == 61 and sum(sum(c.values()) for c in counts.values()) == model.unigrams.total
-    for history, seen in counts.items():
-        pairs = (history << 16) | classes
-        p = 10 ** model.score(pairs, np.array([seen[c] for c in classes]))
-        assert p.sum() == pytest.approx(1, abs=1e-9)
-    # A member's share of its class, and the unknown's, make one as well.
-    u = model.unigrams
-    rare = [r.c for r in words.orderBy(words["c"].desc(), "w").collect()][60:]
-    assert (u.p(np.array(rare)).sum() + u.unknown) == pytest.approx(u.p_codes()[katz.RARE], abs=1e-9)
+@pytest.mark.parametrize("coded", [0, 60, 65_533])
+def test_katz_sums_to_one(awkward, monkeypatch, coded):
+    """The model's scores are those of the plain one, whose probabilities sum to one after every kind of history."""
+    monkeypatch.setattr(katz, "VOCABULARY", coded)
+    learnt = [r for r in awkward_rows() if r[0] is not None and 100 <= r[0] < 112]
+    one, p = brute.katz_model([t for _, t in learnt])
+    words = sorted(w for w in p if w)
+    histories = ["<s>", words[0], words[len(words) // 2], words[-1], "neverseen"]
+    for h in histories:
+        assert sum(one(h, w) for w in p) + one(h, "neverseen") == pytest.approx(1, abs=1e-9)
+    asked = [f"{h} {w}" for h in histories[1:] for w in [*words, "neverseen"]] + words
+    new = awkward.sparkSession.createDataFrame([(i, False, t) for i, t in enumerate(asked)], "doc_id long, held_out boolean, text string")
+    got = bigrams.score(new, *bigrams.train(awkward.where("doc_id >= 100 and doc_id < 112").select("text"))).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        steps = ["<s>", *asked[r.doc_id].split(), None]
+        assert r.score == pytest.approx(sum(math.log10(one(*q)) for q in zip(steps, steps[1:])), rel=1e-9)
 
 
 @pytest.mark.parametrize("coded", [0, 60, 65_533])
@@ -292,6 +338,8 @@ def test_rounds_place_each_piece_once(counts):
         assert sum(x for _, x in parts) <= 64
     # Half or more of each sequence is used, but for one.
     assert sum(sum(x for _, x in p) <= 32 for p in used.values()) <= 1
+    # About as few sequences as best fit, the longest first and one by one.
+    assert len(used) <= 1.02 * brute.best_fit(counts, 64) + 2
 
 
 def test_packing_ranks_hot_lengths(spark):
@@ -335,6 +383,22 @@ def test_pii_learns_contexts(spark):
     assert spans[100] == "phone:18:26" and spans[101] == ""
 
 
+def test_pii_contexts_are_of_the_text_itself(spark):
+    """Seeds and candidates after other identifiers, and numbers of several words."""
+    rows = [(i, f"ticket {i}77 please call me on +1 (555) 010-{1000 + i} soon") for i in range(12)]
+    rows += [(100, "ticket 9a1 please call me on 555 123 4567 soon"), (101, "call me on\n555-0199, room 12 34"), (102, "on 555 9")]
+    spans = {r.doc_id: r.spans for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[100] == "phone:29:41" and spans[101] == "phone:11:19"
+
+
+def test_pii_of_long_texts_with_many_matches(spark):
+    rows = [(1, "a.b@mail.example.com 10.1.2.3 call +1 (555) 123-4567 " * 3000), (2, "12 34 x5 " * 4000)]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        want, _ = brute.entities(text)
+        assert (got[d].n_email, got[d].n_ip, got[d].n_card, got[d].n_phone, got[d].base_sha256) == want
+
+
 def test_redaction(awkward):
     got = redacted(awkward, length_col=None)
     assert got.columns == awkward.columns and got.count() == len(awkward_rows())
