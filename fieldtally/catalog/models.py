@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..operators.ranking import risk_list, top_drivers
 from ..operators.splits import hash_bucket, month_roles, split_flag
 from ..plans.person_table import add_dose_scores
 from ..session import fresh_path
-from ..sources.layers import versioned
+from ..sources.layers import code_version, versioned
 from ..sources.tables import layer, read_table
 from .checks import target_rows
 from .registry import query
@@ -33,9 +35,11 @@ _KNOWN: dict = {}
 
 def versioned_path(t, name: str, made_from: str, write) -> str:
     """The layer of the present source files; looked up once per session and version."""
-    key = (t.spark.sparkContext.applicationId, name, t.version("orders", "customer"), made_from)
+    version = " ".join([t.version("orders", "customer"), code_version(), made_from])
+    key = (t.spark.sparkContext.applicationId, name, t.folder, version)
     if key not in _KNOWN:
-        _KNOWN[key] = versioned(t.spark, name, f"{key[2]} {made_from}", write)
+        place = hashlib.sha1(t.folder.encode()).hexdigest()[:16]
+        _KNOWN[key] = versioned(t.spark, f"{name}-{place}", version, write)
     return _KNOWN[key]
 
 

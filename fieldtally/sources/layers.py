@@ -3,13 +3,17 @@
 A version is drawn from the names, sizes and times of the source files. A layer is written
 to a path of its own and then published by a line of the manifest, so a half-written one is
 never read; a rewritten source has another version and gets a new layer. Data of versions
-beyond the newest few is emptied.
+beyond the newest few is emptied, for each name by itself: name a layer by its source's
+place too, so that layers of different places do not put each other out.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import time
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
@@ -28,6 +32,14 @@ def source_version(spark: SparkSession, paths) -> str:
     return f"{row[0]}-{int(row[1] or 0) % (1 << 64):016x}"
 
 
+@functools.lru_cache(maxsize=1)
+def code_version() -> str:
+    """A text that changes with this package's code: layers of other code are not reused."""
+    package = Path(__file__).resolve().parents[1]
+    files = [p for part in ("catalog", "functions", "ml", "operators", "plans", "sources") for p in sorted((package / part).glob("*.py"))]
+    return hashlib.sha1(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]
+
+
 def _manifest(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/fieldtally/manifests/{name}"
 
