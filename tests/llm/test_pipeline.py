@@ -42,3 +42,19 @@ def test_each_stage(spark, tmp_path):
 def test_run(spark, tmp_path):
     sf_dir, _ = folder(spark, tmp_path)
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == {*range(40), 100, 106}
+
+
+def test_empty_tables(spark, tmp_path):
+    """No documents, or none that a stage keeps; no benchmark."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], schema)
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, empty, str(tmp_path))
+        assert got.columns == empty.columns and got.count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    bare = spark.createDataFrame([(1, None, "en", "s", 0), (None, "", None, None, None), (1, None, "en", "s", 0)], schema)
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        assert stage(spark, bare, str(tmp_path)).count() == 3, name
+    assert corpus_pipeline.STAGES[-1][1](spark, bare, str(tmp_path)).count() == 3
