@@ -79,6 +79,8 @@ def feature_report(df: DataFrame, features, groups: dict | None = None) -> DataF
     """Null %, distinct, mean and sample deviation per numeric feature, with its group.
 
     All come from one table of counts per value; deviations are taken from the mean first.
+    The means, a row per feature, go to the counts by broadcast: joined by a shuffle, all
+    values of one feature would land in one task.
     """
     features = list(features)
     owner = {f: g for g, names in (groups or {}).items() for f in names}
@@ -88,7 +90,7 @@ def feature_report(df: DataFrame, features, groups: dict | None = None) -> DataF
         F.sum(n).alias("_rows"), F.sum(F.when(known, n)).alias("_n"), F.count_if(known).alias("_u"), F.sum(F.col("v") * n).alias("_s"))
     means = means.withColumn("_mean", F.col("_s") / F.col("_n"))
     off = F.col("v") - F.col("_mean")
-    spread = counts.filter(known).join(means.select(F.col("position").alias("_q"), "_mean"), F.col("position") == F.col("_q")).groupBy(
+    spread = counts.join(F.broadcast(means.select(F.col("position").alias("_q"), "_mean")), F.col("position") == F.col("_q")).groupBy(
         F.col("position").alias("_q")).agg(F.sum(off * off * n).alias("_m2"))
     table = means.join(spread, F.col("position") == F.col("_q"), "left").drop("_q")
     std = F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1)))
