@@ -34,3 +34,11 @@ def test_feature_report_joins_no_feature_by_shuffle(spark, large):
     want = x.agg(F.stddev_samp("a"), F.stddev_samp("b"), F.avg("b")).first()
     assert abs(got["a"]["std"] - want[0]) < 1e-9 and abs(got["b"]["std"] - want[1]) < 1e-9 and abs(got["b"]["mean"] - want[2]) < 1e-9
     assert got["b"]["null_pct"] == 25.0 and got["b"]["n_unique"] == len({i % 50 for i in range(2000) if i % 4})
+
+
+def test_drift_bins_are_counted_without_a_shuffle_by_feature(spark, large):
+    long = D.long_form(values(spark), ["a", "b"])
+    edges = long.groupBy("feature").agg(F.array(F.min("value"), F.avg("value"), F.max("value")).alias("bins"))
+    out = D._bin_counts(long, edges, F.lit(1))
+    assert "SortMergeJoin" not in plan(out) and "BroadcastHashJoin" in plan(out)
+    assert {(r["feature"], r["bin"]): r["n"] for r in out.filter("feature = 'a'").collect()} == {("a", 1): 1000, ("a", 2): 1000}
