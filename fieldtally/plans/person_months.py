@@ -95,9 +95,13 @@ def silver_registry(raw: DataFrame, tiebreak=None) -> DataFrame:
     if county:
         out["county_clean"] = X.known_name(F.col(county))
         out["county_valid_flag"] = X.known_name_flag(F.col(county))
-    rows = df.withColumns(out)
     if tiebreak:
-        rows = record_rank(rows, "chw_key", "registry_snapshot_datetime", tiebreak, "chw_registry_record_rank")
+        # Ranking shuffles whole rows: the columns that a row itself gives are added after it.
+        keys = {c: out.pop(c) for c in ("chw_key", "registry_snapshot_datetime")}
+        ranked = record_rank(df.withColumns(keys), "chw_key", "registry_snapshot_datetime", tiebreak, "chw_registry_record_rank")
+        rows = ranked.withColumns(out).select(*dict.fromkeys([*df.columns, *keys, *out, "chw_registry_record_rank"]))
+    else:
+        rows = df.withColumns(out)
     return add_missing_share(rows.withColumn("is_active_chw", F.lit(1)))
 
 

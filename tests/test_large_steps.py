@@ -42,3 +42,19 @@ def test_drift_bins_are_counted_without_a_shuffle_by_feature(spark, large):
     out = D._bin_counts(long, edges, F.lit(1))
     assert "SortMergeJoin" not in plan(out) and "BroadcastHashJoin" in plan(out)
     assert {(r["feature"], r["bin"]): r["n"] for r in out.filter("feature = 'a'").collect()} == {("a", 1): 1000, ("a", 2): 1000}
+
+
+def test_registry_is_ranked_before_it_is_cleaned(spark, monkeypatch):
+    from fieldtally.plans import person_months as M
+    raw = spark.range(40).select(F.col("id").alias("no"), (F.col("id") % 3).cast("string").alias("chw_uuid"), F.concat(F.lit("2001-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")).alias("reported"),
+                                 F.lit(" Meru").alias("county_name"), F.lit("S ").alias("sub_county_name"))
+    seen = []
+    rank = M.record_rank
+    monkeypatch.setattr(M, "record_rank", lambda df, *a: seen.append(df.columns) or rank(df, *a))
+    with_rank, without = silver_registry(raw, ["no"]), silver_registry(raw)
+    assert set(seen[0]) == {*raw.columns, "chw_key", "registry_snapshot_datetime"}
+    place = with_rank.columns.index("chw_registry_record_rank")
+    assert with_rank.columns[:place] == without.columns[:place] and with_rank.columns[place + 1:] == without.columns[place:]
+    shared = [c for c in without.columns if c != "row_missingness_pct"]
+    assert sorted(map(str, with_rank.select(shared).collect())) == sorted(map(str, without.select(shared).collect()))
+    assert sorted(r[0] for r in with_rank.filter("chw_key = '1'").select("chw_registry_record_rank").collect()) == list(range(1, 14))
