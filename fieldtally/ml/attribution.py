@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +65,32 @@ def expected_margin(leaves: list[Leaf]) -> float:
 
 
 ROWS, LEAVES = 64, 4096  # worked on at a time, which bounds memory
+TABLED_ROWS = 256  # the same, where effects are looked up
+TABLE_VALUES = 8_000_000  # effects of leaves of one length that are tabled at most
+
+
+@dataclass
+class Tabled:
+    """Leaves of one length with their effects for every way a row can meet their intervals.
+
+    ``effects[i]`` has, for leaf l and pattern p (bit j: inside the j-th interval), the
+    effect of the leaf's i-th feature at l * 2^m + p. ``to[i]`` carries it to the feature.
+    """
+
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    effects: list[np.ndarray]
+    to: list[np.ndarray]
+
+    def add_to(self, out: np.ndarray, x: np.ndarray) -> None:
+        n, m = self.features.shape
+        place = np.broadcast_to(np.arange(n, dtype=np.int32) << m, (len(x), n)).copy()
+        for j in range(m):
+            v = x[:, self.features[:, j]]
+            place += ((v > self.low[:, j]) & (v <= self.high[:, j])).astype(np.int32) << j
+        for effect, to in zip(self.effects, self.to):
+            out += np.take(effect, place) @ to
 
 
 def leaves_by_length(leaves: list[Leaf]) -> list[tuple[np.ndarray, ...]]:
@@ -76,37 +102,66 @@ def leaves_by_length(leaves: list[Leaf]) -> list[tuple[np.ndarray, ...]]:
             for m, g in sorted(groups.items()) if m]
 
 
-def attribute(x: np.ndarray, leaves: list[Leaf] | list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Shapley values of the path-dependent game, row by feature.
+def tabled_leaves(leaves: list[Leaf], width: int) -> list[Tabled | tuple[np.ndarray, ...]]:
+    """``leaves_by_length``, with tables of effects where they are small. Leaves of very many
+    features stay as they are. ``width`` is the number of features of a row."""
+    out: list[Tabled | tuple[np.ndarray, ...]] = []
+    for group in leaves_by_length(leaves):
+        n, m = group[1].shape
+        if (n * m) << m > TABLE_VALUES:
+            out.append(group)
+            continue
+        bits = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+        for b in range(0, n, LEAVES):
+            value, features, low, high, share = (g[b:b + LEAVES] for g in group)
+            inside = np.broadcast_to(bits[:, None, :], (1 << m, len(value), m))
+            effects = [np.ascontiguousarray(_effect(inside, value, share, i).T).ravel() for i in range(m)]
+            out.append(Tabled(features, low, high, effects, [np.eye(width)[features[:, i]] for i in range(m)]))
+    return out
+
+
+def attribute(x: np.ndarray, leaves: list) -> np.ndarray:
+    """Shapley values of the path-dependent game, row by feature; of leaves or of ``tabled_leaves``.
 
     For a leaf with m features, knowing a set S of them is worth value × Π_S inside × Π_rest share.
     The sum over all sets of one size is a coefficient of Π (share + inside·t), formed for
-    all leaves of one length at once.
+    all leaves of one length at once. A row meets a leaf in one of 2^m ways only, so the
+    effects are formed once per leaf and way, and looked up for the rows.
     """
-    groups = leaves_by_length(leaves) if leaves and isinstance(leaves[0], Leaf) else leaves
+    groups = tabled_leaves(leaves, x.shape[1]) if leaves and isinstance(leaves[0], Leaf) else leaves
     out = np.zeros_like(x, dtype=float)
-    for a in range(0, len(x), ROWS):
-        for group in groups:
+    for group in groups:
+        if isinstance(group, Tabled):
+            for a in range(0, len(x), TABLED_ROWS):
+                group.add_to(out[a:a + TABLED_ROWS], x[a:a + TABLED_ROWS])
+            continue
+        for a in range(0, len(x), ROWS):
             for b in range(0, len(group[0]), LEAVES):
                 out[a:a + ROWS] += _block(x[a:a + ROWS], *(g[b:b + LEAVES] for g in group))
     return out
 
 
+def _effect(inside: np.ndarray, value: np.ndarray, share: np.ndarray, i: int) -> np.ndarray:
+    """Effect of the i-th feature of every leaf, for rows or patterns x leaves."""
+    m = share.shape[1]
+    size_weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+    poly = np.zeros((*inside.shape[:2], m))
+    poly[..., 0] = 1.0
+    for j in range(m):
+        if j != i:
+            moved = poly * share[:, j, None]
+            moved[..., 1:] += poly[..., :-1] * inside[..., j, None]
+            poly = moved
+    return value * (inside[..., i] - share[:, i]) * (poly @ size_weight)
+
+
 def _block(x: np.ndarray, value: np.ndarray, features: np.ndarray, low: np.ndarray, high: np.ndarray, share: np.ndarray) -> np.ndarray:
     m = features.shape[1]
     cols = x[:, features]  # rows x leaves x m
     inside = ((cols > low) & (cols <= high)).astype(float)
-    size_weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
     out = np.zeros_like(x, dtype=float)
     for i in range(m):
-        poly = np.zeros((*inside.shape[:2], m))
-        poly[..., 0] = 1.0
-        for j in range(m):
-            if j != i:
-                moved = poly * share[:, j, None]
-                moved[..., 1:] += poly[..., :-1] * inside[..., j, None]
-                poly = moved
-        effect = value * (inside[..., i] - share[:, i]) * (poly @ size_weight)
+        effect = _effect(inside, value, share, i)
         to = np.zeros((len(value), x.shape[1]))
         to[np.arange(len(value)), features[:, i]] = 1.0
         out += effect @ to
@@ -115,20 +170,26 @@ def _block(x: np.ndarray, value: np.ndarray, features: np.ndarray, low: np.ndarr
 
 def attributions(df: DataFrame, leaves: list[Leaf], features: str = "features") -> DataFrame:
     """Add ``feature_values``, ``shap_values`` and ``base_value`` to every row with a feature vector."""
-    sent = df.sparkSession.sparkContext.broadcast(leaves_by_length(leaves))
+    sent = df.sparkSession.sparkContext.broadcast(leaves)
     base = expected_margin(leaves)
     plain = df.withColumn("feature_values", vector_to_array(F.col(features))).drop(features)
     schema = T.StructType(plain.schema.fields + [T.StructField("shap_values", T.ArrayType(T.DoubleType()))])
+    at = plain.columns.index("feature_values")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = None
         for b in batches:
-            if len(b):
-                b = b.assign(shap_values=list(attribute(np.stack(b["feature_values"].to_numpy()), sent.value)))
-            else:
-                b = b.assign(shap_values=pd.Series([], dtype=object))
-            yield b
-
-    return plain.mapInPandas(work, schema).withColumn("base_value", F.lit(base))
+            flat = b.column(at).flatten().to_numpy(zero_copy_only=False)
+            width = len(flat) // max(b.num_rows, 1)
+            x = flat.reshape(b.num_rows, width)
+            if groups is None and b.num_rows:
+                groups = tabled_leaves(sent.value, width)
+            found = attribute(x, groups or [])
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * width)
+            lists = pa.ListArray.from_arrays(ends, pa.array(found.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=schema.names)
+
+    return plain.mapInArrow(work, schema).withColumn("base_value", F.lit(base))
 
 
 def mean_absolute(df: DataFrame, names, effects: str = "shap_values") -> DataFrame:

@@ -1,8 +1,10 @@
 """Models in sessions that do other work too, and on larger tables."""
 
+import numpy as np
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from fieldtally.ml import attribution as X
 from fieldtally.ml import train as T
 from fieldtally.sources.tables import snapshot
 
@@ -13,3 +15,36 @@ def test_logistic_scores_after_an_observed_write(spark, tmp_path):
     rows = spark.createDataFrame([(Vectors.dense([float(i % 7), float(i % 3)]), i % 2) for i in range(60)], ["features", "y"])
     model = T.fit_logistic(rows, "y")
     assert model.transform(rows).withColumn("p", T.probability()).filter(F.col("p").between(0, 1)).count() == 60
+
+
+def leaf(rng, m, width):
+    low = rng.normal(size=m) - 1
+    return X.Leaf(rng.normal(), np.sort(rng.choice(width, m, replace=False)), low, low + 2, rng.uniform(0.1, 0.9, m))
+
+
+def test_effects_are_formed_once_for_all_rows(spark, monkeypatch):
+    """Looked-up effects are those formed row by row; forming them does not grow with the rows."""
+    rng, width = np.random.default_rng(5), 6
+    leaves = [leaf(rng, m, width) for m in (1, 1, 2, 3, 4, 4, 6)]
+    x = rng.normal(size=(700, width))
+    plain = sum(X._block(x, *group) for group in X.leaves_by_length(leaves))
+    formed, effect = [], X._effect
+    monkeypatch.setattr(X, "_effect", lambda inside, *a: formed.append(inside.shape[0]) or effect(inside, *a))
+    assert np.allclose(X.attribute(x, leaves), plain, atol=1e-12) and max(formed) == 2 ** 6
+    monkeypatch.setattr(X, "TABLE_VALUES", 100)  # longer leaves stay as they are
+    assert np.allclose(X.attribute(x, leaves), plain, atol=1e-12)
+    monkeypatch.setattr(X, "_effect", effect)
+    df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x.tolist())], ["i", "features"])
+    got = {r["i"]: r["shap_values"] for r in X.attributions(df, leaves).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], plain, atol=1e-12)
+
+
+def test_hashes_of_folds_are_formed_once(spark, monkeypatch):
+    """Training hashes a row's key for the held rows and the folds once, not in every fit."""
+    calls, bucket = [], T.hash_bucket
+    flag = T.split_flag
+    monkeypatch.setattr(T, "hash_bucket", lambda *a: calls.append("fold") or bucket(*a))
+    monkeypatch.setattr(T, "split_flag", lambda *a: calls.append("held") or flag(*a))
+    df = spark.range(300).select("id", (F.col("id") % 10).cast("double").alias("a"), F.when(F.col("id") % 10 > 5, 1).otherwise(0).alias("y"))
+    model = T.train(df, "y", ["id"], ["a"], [], settings=T.TrainSettings(trees=2, depth=2, folds=2))
+    assert len(model.fold_models) == 2 and sorted(calls) == ["fold", "held"]
