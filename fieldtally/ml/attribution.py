@@ -204,21 +204,22 @@ def top_positive(importance: DataFrame, n: int = 20) -> DataFrame:
     return importance.filter("mean_shap > 0").orderBy(F.col("mean_shap").desc(), "feature").limit(n)
 
 
-def driver_structs(drivers: Column) -> Column:
-    """Top drivers as the payload's records."""
-    return F.transform(drivers, lambda d: F.struct(
+def driver_struct(d: Column) -> Column:
+    """A top driver as the payload's record."""
+    return F.struct(
         d["feature"].alias("feature"), friendly_name(d["feature"]).alias("friendly_name"),
         F.round(d["feature_value"], 4).alias("feature_value"), F.round(d["shap_value"], 4).alias("shap_value"),
         driver_direction(d["shap_value"]).alias("direction"),
-        plain_english(d["feature"], d["feature_value"], d["shap_value"]).alias("plain_english")))
+        plain_english(d["feature"], d["feature_value"], d["shap_value"]).alias("plain_english"))
 
 
 def payload(df: DataFrame, names, keys, version: str, n: int = 3) -> DataFrame:
-    """One explanation record per scored and attributed row."""
+    """One explanation record per scored and attributed row. Every row has as many drivers, so their records are listed."""
     top = df.withColumn("_top", top_drivers("shap_values", "feature_values", names, n))
+    records = F.array(*[driver_struct(F.col("_top")[i]) for i in range(min(n, len(names)))])
     return top.select(
         *keys, F.round("risk_score", 4).alias("risk_score"), F.round(F.col("risk_score") * 100, 1).alias("risk_pct"), "risk_tier",
-        driver_structs(F.col("_top")).alias("top_drivers"),
+        F.when(F.col("_top").isNotNull(), records).alias("top_drivers"),
         recommended_action(F.col("risk_tier"), F.element_at("_top", 1)["feature"]).alias("recommended_action"),
         F.lit(version).alias("model_version"))
 

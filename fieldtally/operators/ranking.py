@@ -44,12 +44,16 @@ def batch_counts(df: DataFrame, score: str, batch=()) -> DataFrame:
 
 
 def top_drivers(effects: str, values: str, names, n: int = 3):
-    """The n largest effects of a row as structs, by size, then by feature position."""
-    items = F.transform(F.col(effects), lambda e, i: F.struct(
-        (-F.abs(e)).alias("k"), i.alias("i"), e.alias("shap_value"),
-        F.element_at(F.col(values), i + 1).alias("feature_value"),
-        F.element_at(F.array(*[F.lit(x) for x in names]), i + 1).alias("feature")))
-    return F.slice(F.array_sort(items), 1, n)
+    """The n largest effects of a row as structs, by size, then by feature position.
+
+    ``names`` has one name per effect, so the structs are listed and not formed by a lambda,
+    and sorted in their natural order: Spark compiles the one and compares natively for the other.
+    """
+    e, v = F.col(effects), F.col(values)
+    items = F.array(*[F.struct(
+        (-F.abs(e[i])).alias("k"), F.lit(i).alias("i"), e[i].alias("shap_value"), v[i].alias("feature_value"),
+        F.lit(name).alias("feature")) for i, name in enumerate(names)])
+    return F.when(e.isNotNull(), F.slice(F.sort_array(items), 1, n))
 
 
 def top_reasons(df: DataFrame, keys, effects: str, names, n: int = 5) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldtally.ml import attribution as X
 from fieldtally.operators import drift as D
 from fieldtally.operators import profiles as P
 from fieldtally.plans.person_months import silver_registry
@@ -58,3 +59,16 @@ def test_registry_is_ranked_before_it_is_cleaned(spark, monkeypatch):
     shared = [c for c in without.columns if c != "row_missingness_pct"]
     assert sorted(map(str, with_rank.select(shared).collect())) == sorted(map(str, without.select(shared).collect()))
     assert sorted(r[0] for r in with_rank.filter("chw_key = '1'").select("chw_registry_record_rank").collect()) == list(range(1, 14))
+
+
+def test_drivers_and_records_are_listed_without_lambdas(spark):
+    """Lambdas are worked through node by node for every row; a row has as many drivers as any other."""
+    names = ["patient_age_in_months", "has_bcg", "county"]
+    rows = [(0, 0.7, "HIGH", [5.0, 1.0, 2.0], [0.1, -0.3, 0.1]), (1, 0.2, "LOW", [7.0, 0.0, 1.0], [0.0, 0.0, -0.5]), (2, 0.4, "MEDIUM", None, None)]
+    df = spark.createDataFrame(rows, "id int, risk_score double, risk_tier string, feature_values array<double>, shap_values array<double>")
+    out = X.payload(df, names, ["id"], "v", 2)
+    assert "lambda" not in plan(out)
+    got = {r["id"]: r["top_drivers"] for r in out.collect()}
+    assert [d["feature"] for d in got[0]] == ["has_bcg", "patient_age_in_months"] and [d["feature"] for d in got[1]] == ["county", "patient_age_in_months"]
+    assert [(d["feature_value"], d["shap_value"], d["direction"]) for d in got[0]] == [(1.0, -0.3, "decreases_risk"), (5.0, 0.1, "increases_risk")]
+    assert got[2] is None and all(len(r["top_drivers"]) == 3 for r in X.payload(df, names, ["id"], "v", 5).filter("id < 2").collect())
