@@ -9,6 +9,7 @@ from fieldtally.constants import CORE_DOSES, MALARIA_DOSES
 from fieldtally.ml import attribution as X
 from fieldtally.ml import train as T
 from fieldtally.plans import cleaners as C
+from fieldtally.plans import person_table as PT
 from fieldtally.plans.person_months import silver_population, silver_supervision
 from fieldtally.plans.person_table import build_person_table
 from fieldtally.session import fresh_path
@@ -57,6 +58,27 @@ def test_person_table(spark, raw):
     assert df.filter("vax_completeness_score < 0 or vax_completeness_score > 1").count() == 0
 
 
+def test_only_kept_visits_are_scored(spark, raw, monkeypatch):
+    """The person table scores a visit per person, as if all had been scored and then collapsed."""
+    registry = spark.createDataFrame([(f"area_{i % 5}", f"unit {i}", "Meru", f"sub {i}", f"2025-01-{i + 1:02d}", "1", i) for i in range(10)],
+                                     "chw_area_uuid string, community_unit string, county_name string, sub_county_name string, reported string, chw_phone string, no int")
+    tables = C.clean_all({"iz": raw, "active_chps": registry})
+    scored, read, score, latest, as_of = [], [], PT.add_dose_scores, PT.latest_rows, F.to_timestamp(F.lit("2025-06-01"))
+    monkeypatch.setattr(PT, "add_dose_scores", lambda df, at: scored.append(df.count()) or score(df, at))
+    monkeypatch.setattr(PT, "latest_rows", lambda df, keys, *a: read.append((*keys, df.count())) or latest(df, keys, *a))
+    df = build_person_table(tables, as_of, {"iz": ["row_no"], "active_chps": ["no"]})
+    assert scored == [50]
+    # The registry itself is ranked once; the joins see a row per area.
+    assert sorted(n for key, *_, n in read if key == "chw_area_uuid") == [5, 5, 10]
+    visits = PT.latest_visit_per_month(tables["iz"], ["row_no"])
+    assert visits.count() == 60
+    late = PT.join_registry(PT.add_target(score(visits, as_of)), tables["active_chps"], ["no"])
+    late = latest(late, ["patient_id"], "reported", ["row_no"])
+    shared = [c for c in late.columns if c in df.columns]
+    assert set(late.columns) <= set(df.columns) and sorted(map(repr, df.select(shared).collect())) == sorted(map(repr, late.select(shared).collect()))
+    assert {r[0]: r[1] for r in df.select("sub_county_name", "sub_county_encoded").distinct().collect()} == {f"sub {i + 5}": i for i in range(5)}
+
+
 def test_silver(spark):
     sup = spark.createDataFrame([("1", "w ", "bad", "yes", 1.0, 0.0)], "UUID string, `Chw Uuid` string, reported string, has_all_tools string, calc_immunization_score double, calc_immunization_denominator double")
     r = silver_supervision(sup).first()
