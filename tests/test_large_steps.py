@@ -1,11 +1,13 @@
 """Steps that may not put one feature into one task, nor shuffle what a row gives by itself."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.ml import attribution as X
 from fieldtally.operators import drift as D
 from fieldtally.operators import profiles as P
+from fieldtally.operators import quantiles as Q
 from fieldtally.plans.person_months import silver_registry
 
 
@@ -72,3 +74,15 @@ def test_drivers_and_records_are_listed_without_lambdas(spark):
     assert [d["feature"] for d in got[0]] == ["has_bcg", "patient_age_in_months"] and [d["feature"] for d in got[1]] == ["county", "patient_age_in_months"]
     assert [(d["feature_value"], d["shap_value"], d["direction"]) for d in got[0]] == [(1.0, -0.3, "decreases_risk"), (5.0, 0.1, "increases_risk")]
     assert got[2] is None and all(len(r["top_drivers"]) == 3 for r in X.payload(df, names, ["id"], "v", 5).filter("id < 2").collect())
+
+
+def test_ranks_are_searched_in_cells_of_bounded_size(spark, monkeypatch):
+    """A piece is the table's rows by the number of partitions; one of them may not be sorted whole for a rank."""
+    counts = spark.range(400_000).select(F.col("id").alias("v"), F.lit(1).cast("bigint").alias("n"))
+    assert Q.ranked_cells(counts, "v").groupBy("_cell").count().agg(F.max("count")).first()[0] <= 1 << Q.CELL_BITS
+    monkeypatch.setattr(Q, "CELL_BITS", 2)
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 101 * 0.5).alias("v"))
+    got = {r["g"]: r["q"] for r in Q.exact_quantiles(df, "v", [0.0, 0.1, 0.5, 0.93, 1.0], ["g"], "q").collect()}
+    for g in range(3):
+        want = np.quantile([i * 7919 % 101 * 0.5 for i in range(1000) if i % 3 == g], [0.0, 0.1, 0.5, 0.93, 1.0])
+        assert np.allclose(got[g], want, atol=1e-12)
