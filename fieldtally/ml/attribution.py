@@ -6,9 +6,10 @@ the tasks once. Each task works through its own rows in Arrow batches.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import factorial
+from math import factorial, prod
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,7 @@ def expected_margin(leaves: list[Leaf]) -> float:
 ROWS, LEAVES = 64, 4096  # worked on at a time, which bounds memory
 TABLED_ROWS = 256  # the same, where effects are looked up
 TABLE_VALUES = 8_000_000  # effects of leaves of one length that are tabled at most
+CELLS = 4096  # cells of a row's values that leaves tabled together may part
 
 
 @dataclass
@@ -120,8 +122,75 @@ def tabled_leaves(leaves: list[Leaf], width: int) -> list[Tabled | tuple[np.ndar
     return out
 
 
+@dataclass
+class Celled:
+    """Attributions of a group of leaves for every cell that their cuts part the features' values into.
+
+    A table has a row per cell, with the group's attribution to the features. A row's cell
+    is the sum of the strides of the cuts that it lies beyond; ``features``, ``cuts`` and
+    ``strides`` (cut by group) are those of all groups.
+    """
+
+    features: np.ndarray
+    cuts: np.ndarray
+    strides: np.ndarray
+    tables: list[np.ndarray]
+
+    def add_to(self, out: np.ndarray, x: np.ndarray) -> None:
+        beyond = ~(x[:, self.features] <= self.cuts)  # as the trees decide, also for NaN
+        place = (beyond.astype(np.float32) @ self.strides).astype(np.intp)  # whole numbers below CELLS
+        for i, table in enumerate(self.tables):
+            out[:, :table.shape[1]] += table[place[:, i]]
+
+
+def leaf_cuts(leaf: Leaf) -> set[tuple[int, float]]:
+    """(feature, cut) of the ends of a leaf's intervals."""
+    return {(int(f), float(v)) for f, low, high in zip(leaf.features, leaf.low, leaf.high) for v in (low, high) if np.isfinite(v)}
+
+
+def cell_groups(leaves: list[Leaf]) -> list[tuple[list[Leaf], dict[int, list[float]]]]:
+    """Runs of leaves whose cuts part the values into at most ``CELLS`` cells, with the cuts by feature.
+    Leaves come tree by tree, so neighbours share most of their cuts. One leaf alone may have more."""
+    out: list[tuple[list[Leaf], set]] = []
+    for leaf in leaves:
+        cuts = leaf_cuts(leaf)
+        if out and _cells(out[-1][1] | cuts) <= CELLS:
+            out[-1][0].append(leaf)
+            out[-1][1].update(cuts)
+        else:
+            out.append(([leaf], set(cuts)))
+    return [(group, {f: sorted(v for g, v in cuts if g == f) for f in sorted({f for f, _ in cuts})}) for group, cuts in out]
+
+
+def _cells(cuts: set[tuple[int, float]]) -> int:
+    return prod(n + 1 for n in Counter(f for f, _ in cuts).values())
+
+
+def celled_leaves(leaves: list[Leaf]) -> list[Celled]:
+    """The leaves' attributions tabled by cells; none where the tables would be large."""
+    leaves = [leaf for leaf in leaves if len(leaf.features)]
+    width = 1 + max((int(leaf.features.max()) for leaf in leaves), default=0)
+    groups = cell_groups(leaves)
+    sizes = [prod(len(v) + 1 for v in cuts.values()) for _, cuts in groups]
+    if not groups or max(sizes) > CELLS or sum(sizes) * width > TABLE_VALUES:
+        return []
+    known = sorted({(f, v) for _, cuts in groups for f, values in cuts.items() for v in values})
+    at = {cut: i for i, cut in enumerate(known)}
+    strides = np.zeros((len(known), len(groups)), dtype=np.float32)
+    tables = []
+    for i, ((group, cuts), size) in enumerate(zip(groups, sizes)):
+        inside, stride = np.zeros((size, width)), 1
+        for f, values in cuts.items():
+            strides[[at[f, v] for v in values], i] = stride
+            # A cell is right-closed: its cut stands for it, and the last one has no end.
+            inside[:, f] = np.array([*values, np.inf])[np.arange(size) // stride % (len(values) + 1)]
+            stride *= len(values) + 1
+        tables.append(attribute(inside, tabled_leaves(group, width)))
+    return [Celled(np.array([f for f, _ in known]), np.array([v for _, v in known]), strides, tables)]
+
+
 def attribute(x: np.ndarray, leaves: list) -> np.ndarray:
-    """Shapley values of the path-dependent game, row by feature; of leaves or of ``tabled_leaves``.
+    """Shapley values of the path-dependent game, row by feature; of leaves, ``tabled_leaves`` or ``celled_leaves``.
 
     For a leaf with m features, knowing a set S of them is worth value × Π_S inside × Π_rest share.
     The sum over all sets of one size is a coefficient of Π (share + inside·t), formed for
@@ -131,7 +200,7 @@ def attribute(x: np.ndarray, leaves: list) -> np.ndarray:
     groups = tabled_leaves(leaves, x.shape[1]) if leaves and isinstance(leaves[0], Leaf) else leaves
     out = np.zeros_like(x, dtype=float)
     for group in groups:
-        if isinstance(group, Tabled):
+        if isinstance(group, (Tabled, Celled)):
             for a in range(0, len(x), TABLED_ROWS):
                 group.add_to(out[a:a + TABLED_ROWS], x[a:a + TABLED_ROWS])
             continue
@@ -170,7 +239,7 @@ def _block(x: np.ndarray, value: np.ndarray, features: np.ndarray, low: np.ndarr
 
 def attributions(df: DataFrame, leaves: list[Leaf], features: str = "features") -> DataFrame:
     """Add ``feature_values``, ``shap_values`` and ``base_value`` to every row with a feature vector."""
-    sent = df.sparkSession.sparkContext.broadcast(leaves)
+    sent = df.sparkSession.sparkContext.broadcast(celled_leaves(leaves) or leaves)
     base = expected_margin(leaves)
     plain = df.withColumn("feature_values", vector_to_array(F.col(features))).drop(features)
     schema = T.StructType(plain.schema.fields + [T.StructField("shap_values", T.ArrayType(T.DoubleType()))])
@@ -183,7 +252,7 @@ def attributions(df: DataFrame, leaves: list[Leaf], features: str = "features")
             width = len(flat) // max(b.num_rows, 1)
             x = flat.reshape(b.num_rows, width)
             if groups is None and b.num_rows:
-                groups = tabled_leaves(sent.value, width)
+                groups = tabled_leaves(sent.value, width) if sent.value and isinstance(sent.value[0], Leaf) else sent.value
             found = attribute(x, groups or [])
             ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * width)
             lists = pa.ListArray.from_arrays(ends, pa.array(found.ravel(), pa.float64()))

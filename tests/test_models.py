@@ -48,3 +48,29 @@ def test_hashes_of_folds_are_formed_once(spark, monkeypatch):
     df = spark.range(300).select("id", (F.col("id") % 10).cast("double").alias("a"), F.when(F.col("id") % 10 > 5, 1).otherwise(0).alias("y"))
     model = T.train(df, "y", ["id"], ["a"], [], settings=T.TrainSettings(trees=2, depth=2, folds=2))
     assert len(model.fold_models) == 2 and sorted(calls) == ["fold", "held"]
+
+
+def test_attributions_are_looked_up_by_cell(spark, monkeypatch):
+    """All leaves that share cuts take one look-up; values on a cut, beyond all cuts and without end are as in the leaves."""
+    cuts = {0: [1.0, 2.0, 3.0], 2: [0.5], 3: [-1.0, 4.0]}
+    rng, leaves = np.random.default_rng(9), []
+    for f, low, high in [(0, -np.inf, 1.0), (0, 1.0, 3.0), (0, 2.0, np.inf)]:
+        for g, left, right in [(2, -np.inf, 0.5), (3, -1.0, 4.0), (3, 4.0, np.inf)]:
+            leaves.append(X.Leaf(rng.normal(), np.array([f, g]), np.array([low, left]), np.array([high, right]), rng.uniform(0.1, 0.9, 2)))
+    leaves.append(X.Leaf(0.3, np.array([], dtype=int), *[np.array([])] * 3))
+    values = sorted({v + d for vs in cuts.values() for v in vs for d in (-0.1, 0.0, 0.1)} | {-1e300, 1e300, np.inf})
+    x = rng.choice(values, size=(900, 5))
+    plain = sum(X._block(x, *group) for group in X.leaves_by_length(leaves))
+    found = X.celled_leaves(leaves)
+    assert len(found) == 1 and [len(t) for t in found[0].tables] == [4 * 2 * 3]
+    assert np.allclose(X.attribute(x, found), plain, atol=1e-12)
+    monkeypatch.setattr(X, "CELLS", 12)  # several groups
+    found = X.celled_leaves(leaves)
+    assert len(found[0].tables) > 1 and np.allclose(X.attribute(x, found), plain, atol=1e-12)
+    monkeypatch.setattr(X, "TABLE_VALUES", 10)
+    assert X.celled_leaves(leaves) == [] and X.celled_leaves([]) == []
+    df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x[:50].tolist())], ["i", "features"])
+    for most in (10, 1000):  # tables too large, and tables sent
+        monkeypatch.setattr(X, "TABLE_VALUES", most)
+        got = {r["i"]: r["shap_values"] for r in X.attributions(df, leaves).collect()}
+        assert np.allclose([got[i] for i in range(50)], plain[:50], atol=1e-12)
