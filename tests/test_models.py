@@ -74,3 +74,26 @@ def test_attributions_are_looked_up_by_cell(spark, monkeypatch):
         monkeypatch.setattr(X, "TABLE_VALUES", most)
         got = {r["i"]: r["shap_values"] for r in X.attributions(df, leaves).collect()}
         assert np.allclose([got[i] for i in range(50)], plain[:50], atol=1e-12)
+
+
+def test_two_models_are_compared_without_a_join(spark):
+    """Both score the row as it came: the first model's fills and codes must not reach the second."""
+    from fieldtally.catalog.models import score_difference
+
+    rows = spark.range(400).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 10).cast("double").alias("a"),
+                                   F.element_at(F.array(*map(F.lit, "xyz")), (F.col("id") % 3 + 1).cast("int")).alias("c"),
+                                   (F.col("id") % 10 + 3 * (F.col("id") % 3) > 8).cast("int").alias("y"))
+    settings = T.TrainSettings(trees=3, depth=2, folds=2, min_rows=1)
+    model = T.train(rows, "y", ["id"], ["a"], [], ["c"], settings)
+    other = T.train(rows.filter("id % 4 > 0"), "y", ["id"], ["a"], [], ["c"], settings)
+    same, differ = score_difference(rows, model, model), score_difference(rows, model, other)
+    assert tuple(same.first()) == (400, 0.0)
+    a, b = (m.score(rows).select("id", F.col("risk_score").alias(n)) for m, n in ((model, "p"), (other, "q")))
+    want = a.join(b, "id").agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
+    assert want > 0 and tuple(differ.first()) == (400, want)
+    assert sum("Range" in line for line in plan_text(same).split("\n")) == 1
+
+
+def plan_text(df):
+    """The physical plan as text."""
+    return df._jdf.queryExecution().simpleString()
