@@ -86,3 +86,11 @@ def test_texts(spark):
     assert got[2] == "Penta-1 received value=1.00 reduces defaulter risk"
     action = df.select(R.recommended_action(F.lit("HIGH"), F.col("f"))).first()[0]
     assert action.endswith("schedule MR2 booster referral.")
+
+
+def test_month_token_matches_once(spark):
+    """One match a row, and none inside the text: only its beginning counts."""
+    got = values(spark, D.month_token, [" feb25", "a Feb25", "Feb2", "FEB25x", "Feb٢٥", "", "9Feb25"])
+    assert got == ["2025-02", "a Feb25", "Feb2", "2025-02", "Feb٢٥", "", "9Feb25"]
+    plan = spark.createDataFrame([("a",)], "x string").select(D.month_token(F.col("x")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("regexp_extract") + plan.lower().count("rlike") == 1
