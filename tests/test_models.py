@@ -1,6 +1,10 @@
 """Models in sessions that do other work too, and on larger tables."""
 
+import random
+from dataclasses import replace
+
 import numpy as np
+import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -8,6 +12,8 @@ from fieldtally.ml import attribution as X
 from fieldtally.ml import train as T
 from fieldtally.sources.tables import snapshot
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_logistic_scores_after_an_observed_write(spark, tmp_path):
     """An observed write leaves the session unable to be sent to tasks; the model must not hold it."""
@@ -94,6 +100,50 @@ def test_two_models_are_compared_without_a_join(spark):
     assert sum("Range" in line for line in plan_text(same).split("\n")) == 1
 
 
+def pooled(rows):
+    """{score: pooled mean} of (score, label) rows, plainly: each score in turn, merged with those before while they are not lower."""
+    blocks = []
+    for s in sorted({s for s, _ in rows}):
+        labels = [y for t, y in rows if t == s]
+        blocks.append([sum(labels), len(labels), [s]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, n, scores = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + n, blocks[-1][2] + scores]
+    return {s: total / n for total, n, scores in blocks for s in scores}
+
+
+@pytest.mark.parametrize("kind", ["noisy", "falling", "waves", "ties"])
+def test_calibration_uses_every_labelled_row(spark, kind):
+    """The curve is that of all rows, whatever number of them a task pools at a time."""
+    rng = random.Random(kind)
+    chance = {"noisy": lambda s: s, "falling": lambda s: 1 - s, "waves": lambda s: 0.5 + 0.5 * np.sin(40 * s), "ties": lambda s: s}[kind]
+    scores = [round(rng.random(), 1 if kind == "ties" else 9) for _ in range(700)]
+    rows = [(s, float(rng.random() < chance(s))) for s in scores]
+    df, want = spark.createDataFrame(rows, "s double, y double"), pooled(rows)
+    for most in (40, 699, 700, 1_000_000):
+        curve = T.fit_isotonic(df, "y", "s", rows=most)
+        got = np.interp(sorted(want), curve.boundaries.toArray(), curve.predictions.toArray())
+        assert np.allclose(got, [want[s] for s in sorted(want)], rtol=0, atol=1e-12), most
+
+
+def test_folds_are_calibrated_on_all_their_rows(spark, monkeypatch):
+    """The model that the queries share: each fold's curve is that of all labelled rows held out for it."""
+    from fieldtally.catalog import models as M
+    from fieldtally.catalog.registry import Tables
+
+    monkeypatch.setattr(M, "SETTINGS", replace(M.SETTINGS, trees=2, depth=3, calibration_rows=50))
+    t = Tables(spark, SF)
+    model, _ = M.fitted(t)
+    vectors = model.preparation.transform(M.parts(t)[0]).withColumn("_fold", T.hash_bucket(M.KEYS, M.SETTINGS.seed + 2) % M.SETTINGS.folds)
+    assert len(model.calibrators) == 2
+    for i, (trees, curve) in enumerate(zip(model.fold_models, model.calibrators)):
+        rows = [tuple(r) for r in T.raw_score(vectors.filter(F.col("_fold") == i), trees, "s").select("s", M.LABEL).collect()]
+        want = pooled(rows)
+        assert len(rows) > 400 and len(want) > 3
+        got = np.interp(sorted(want), curve.boundaries.toArray(), curve.predictions.toArray())
+        assert np.allclose(got, [want[s] for s in sorted(want)], rtol=0, atol=1e-12)
+
+
 def plan_text(df):
     """The physical plan as text."""
     return df._jdf.queryExecution().simpleString()
