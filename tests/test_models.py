@@ -144,6 +144,21 @@ def test_folds_are_calibrated_on_all_their_rows(spark, monkeypatch):
         assert np.allclose(got, [want[s] for s in sorted(want)], rtol=0, atol=1e-12)
 
 
+def test_explained_scores_do_not_depend_on_the_rows_a_task_pools(spark, monkeypatch):
+    from fieldtally.catalog import QUERIES
+    from fieldtally.catalog import models as M
+
+    settings, found = replace(M.SETTINGS, trees=2, depth=3), []
+    for most in (50, 1_000_000):
+        monkeypatch.setattr(M, "SETTINGS", replace(settings, calibration_rows=most))
+        records = QUERIES["i31_explanations"](spark, SF).select(*M.KEYS, "risk_score").orderBy(*M.KEYS).collect()
+        points = QUERIES["i32_dependence"](spark, SF).select(*M.KEYS, "feature", "risk_score").orderBy(*M.KEYS, "feature").collect()
+        found.append((records, points))
+    for part, whole in zip(*found):
+        assert len(part) > 1000 and [r[:-1] for r in part] == [r[:-1] for r in whole]
+        assert np.allclose([r[-1] for r in part], [r[-1] for r in whole], rtol=0, atol=1e-9)
+
+
 def plan_text(df):
     """The physical plan as text."""
     return df._jdf.queryExecution().simpleString()
